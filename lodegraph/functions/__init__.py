@@ -1 +1 @@
-"""See README."""
+"""Column expressions: text, scores, hashed embeddings, redaction."""

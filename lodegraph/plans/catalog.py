@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.plans.registry import QUERIES, SQL
+
+for _name in ("graph_queries", "text_queries", "retrieval_queries", "knowledge_queries", "store_queries", "event_queries"):
+    import_module(f"lodegraph.plans.{_name}")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return QUERIES["hybrid_flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
