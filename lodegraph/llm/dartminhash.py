@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,17 +27,20 @@ BANDS, ROWS = 20, 5
 FIRST_LEVEL = -9
 #: Salts for mappings whose keys may be shared by a large part of all rows.
 SALTS = 16
-#: New pivots of a large bucket in one step.
-PIVOTS = 8
-#: Buckets whose open comparisons number at most so many are compared in one step; larger ones are thinned by pivots first.
+#: Buckets whose open comparisons number at most so many are compared pair by pair, larger ones by blocks of signatures.
 OPEN_PAIRS = 2000
+#: Members far from the pivot, and members of any kind, that a block holds, about.
+BLOCK_FAR, BLOCK_ALL = 512, 4096
+BLOCK_BYTES = 24 << 20
+#: Closest similar others of a far member that are linked before components are looked at.
+CLOSEST = 6
 
 
 def cells(texts: list[str], k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(unit cells of all texts, cells of each text, 128-bit keys of the word sequences as two uint64).
 
     A cell is a shingle and a number from 1 to its frequency. Texts of fewer than k words are one shingle; texts without
-    words have no cell. Cells of a text are in ascending order."""
+    words have no cell. Cells of a text are distinct, in no order."""
     words, counts = word_hashes(texts)
     n = len(words)
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -121,7 +125,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hi, text_lo (of the word sequence), bands array<long> (empty without words)."""
+    """doc_id, text_hi, text_lo (of the word sequence), bands array<long> (empty without words), print: a byte of each
+    coordinate of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +134,14 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for a, b in spans_of(map(len, texts)):
                 cell, counts, hi, lo = cells(texts[a:b])
                 full = np.flatnonzero(counts)
-                keys = band_keys(signatures(cell, counts[full], bands * rows), bands, rows)
+                signature = signatures(cell, counts[full], bands * rows)
+                keys = band_keys(signature, bands, rows)
+                prints = np.zeros((b - a, bands * rows), np.uint8)
+                prints[full] = signature.astype(np.uint8)
                 lengths = np.where(counts > 0, bands, 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), list_array(keys.reshape(-1).view(np.int64), lengths)], names=["doc_id", "text_hi", "text_lo", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), list_array(keys.reshape(-1).view(np.int64), lengths), pa.array([x.tobytes() for x in prints], pa.binary())], names=["doc_id", "text_hi", "text_lo", "bands", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_hi long, text_lo long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_hi long, text_lo long, bands array<long>, print binary")
 
 
 def whole_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -176,36 +184,52 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id of each component of the undirected edges (a, b), by minimum labels and pointer jumps.
-
-    Each round sends the smallest label to neighbours and then replaces every label by its label's label; a chain of n
-    nodes takes about log n rounds, a star one or two. Nothing goes to the driver but the number of changes."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).where("id != other").distinct()
-    both = cut(both)
-    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label"))
-    labels = cut(labels)
-    while True:
-        heard = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("next"))
-        jump = lower.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        moved = cut(lower.join(jump, "next", "left").select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
-        changed = moved.where("next != label").limit(1).count()
-        labels = moved.select("id", F.col("next").alias("label"))
-        if not changed:
-            return labels
-
+    """id, label: the smallest id of each component of the undirected edges (a, b).
 
-def _ids_of(edges: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    Every node points to its smallest neighbour, pointers are followed four steps, and edges between nodes that point
+    elsewhere are contracted until none is left: stars take one round, a chain of n nodes about log4 n. Nothing goes to
+    the driver but whether edges are left."""
+    edges = edges.select("a", "b").where("a != b")
+    levels: list[DataFrame] = []
+    while True:
+        both = edges.union(edges.select("b", "a")).toDF("id", "other")
+        point = both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label"))
+        for _ in range(2):
+            far = point.select(F.col("id").alias("label"), F.col("label").alias("far"))
+            point = point.join(far, "label").select("id", F.col("far").alias("label"))
+        levels.append(cut(point))
+        ends = lambda name: levels[-1].select(F.col("id").alias(name), F.col("label").alias(f"to_{name}"))
+        left = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = cut(left.where("a != b").distinct())
+        if edges.isEmpty():
+            break
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.join(level.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.coalesce("far", "label").alias("label"))
+    return out
+
+
+def _with_distance(members: DataFrame, seen: DataFrame) -> DataFrame:
+    """bucket, pivot, doc, n, distance from the pivot."""
+    known = seen.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance")
+    return members.join(known, ["pivot", "doc"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+
+
+def _open_pairs(x: DataFrame, limit: float) -> DataFrame:
+    """a, b: pairs of a bucket, one of them far from the pivot, that the triangle inequality doesn't part."""
+    p = x.where(F.col("distance") > limit).select("bucket", F.col("doc").alias("p"), F.col("distance").alias("dp"))
+    q = x.where("doc != pivot").select("bucket", F.col("doc").alias("q"), F.col("distance").alias("dq"))
+    pairs = p.join(q, "bucket").where((F.col("p") != F.col("q")) & (F.abs(F.col("dp") - F.col("dq")) <= limit))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def links(sketched: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, distance of compared pairs that share a band, enough of them that every similar pair is linked through them.
+    """a, b, distance of similar pairs that share a band, enough of them that every similar pair is linked through them.
 
     `sketched` holds one document of each word sequence. In each bucket all members are compared with its smallest id,
-    the pivot; distances are a metric, so a pair further apart on the pivot's scale than the limit can't be similar, and
-    neither can one already in a component gain by being compared. What stays open is compared pair by pair where few,
-    and by further pivots until few where many. No bucket is capped."""
+    the pivot. Members near it are linked by that. Distances are a metric, so two members that lie further apart on the
+    pivot's scale than the limit can't be similar; what stays open is compared pair by pair in small buckets, and by
+    blocks of signatures in large ones. No bucket is capped."""
     limit = 1 - similarity + 1e-12
     members = sketched.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1")
@@ -213,33 +237,98 @@ def links(sketched: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     texts = whole_texts(docs, members.select(F.col("doc").alias("doc_id")).distinct())
     pairs = members.where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     seen = cut(similarities(pairs, texts))
-    while True:
-        near = seen.where(F.col("distance") <= limit)
-        labels = components(near)
-        # buckets with more than two members that still span several components
-        named = _ids_of(near, members.where("n > 2"), labels)
-        named = named.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance"), ["pivot", "doc"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-        spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(F.col("distance") > limit).alias("far"), F.count("*").alias("m")).where("low != high")
-        open_ = cut(named.join(spread.select("bucket", "far", "m"), "bucket"))
-        dense = open_.where(F.col("far") * F.col("m") > OPEN_PAIRS)
-        known = seen.select("a", "b")
-        small = open_.where(F.col("far") * F.col("m") <= OPEN_PAIRS)
-        x = small.where(F.col("distance") > limit).select("bucket", F.col("doc").alias("p"), F.col("label").alias("lp"), F.col("distance").alias("dp"))
-        y = small.where("doc != pivot").select("bucket", F.col("doc").alias("q"), F.col("label").alias("lq"), F.col("distance").alias("dq"))
-        rest = x.join(y, "bucket").where((F.col("lp") != F.col("lq")) & (F.abs(F.col("dp") - F.col("dq")) <= limit)).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        # in the others a few of the far members become pivots of those that they may link to
-        turn = F.pmod(F.xxhash64("doc"), F.lit(PIVOTS))
-        lead = dense.where(F.col("distance") > limit).groupBy("bucket", turn).agg(F.min(F.struct("doc", "label", "distance")).alias("lead")).select("bucket", "lead")
-        more = dense.join(lead, "bucket").where((F.col("label") != F.col("lead.label")) & (F.abs(F.col("distance") - F.col("lead.distance")) <= limit) & (F.col("doc") != F.col("pivot")))
-        more = more.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct()
-        todo = cut(rest.union(more).distinct().join(known, ["a", "b"], "left_anti"))
-        if todo.isEmpty():
-            if dense.isEmpty():
-                return near
-            # all that these pivots may link to is compared by now: they leave their buckets
-            members = cut(members.join(lead.select("bucket", F.col("lead.doc").alias("doc")), ["bucket", "doc"], "left_anti"))
-            continue
-        seen = cut(seen.union(similarities(todo, texts)))
+    placed = _with_distance(members.where("n > 2"), seen)
+    far = placed.groupBy("bucket").agg(F.count_if(F.col("distance") > limit).alias("far")).where("far > 0")
+    placed = cut(placed.join(far, "bucket"))
+    few = F.col("far") * F.col("n") <= OPEN_PAIRS
+    todo = _open_pairs(placed.where(few), limit).join(seen, ["a", "b"], "left_anti")
+    seen = cut(seen.union(similarities(todo, texts)))
+    dense = placed.where(~few).select("pivot", "doc", "distance").distinct()
+    dense = dense.join(sketched.select(F.col("doc_id").alias("doc"), "print"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    dense = cut(_with_cells(dense))
+    near = seen.where(F.col("distance") <= limit)
+    return near if dense.isEmpty() else _dense_links(dense, near, limit, similarity)
+
+
+def _with_cells(rows: DataFrame) -> DataFrame:
+    """pivot, doc, distance, print and the ascending cells of the text as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in spans_of(map(len, texts)):
+                cell, counts, _, _ = cells(texts[a:b])
+                ends = np.cumsum(counts)
+                data = [np.sort(cell[e - c : e]).tobytes() for e, c in zip(ends, counts)]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("pivot", "doc", "distance", "print")), pa.array(data, pa.binary())], names=["pivot", "doc", "distance", "print", "cells"])
+
+    return rows.select("pivot", "doc", "distance", "print", "text").mapInArrow(run, "pivot long, doc long, distance double, print binary, cells binary")
+
+
+def least_agreement(similarity: float, coordinates: int) -> int:
+    """Coordinates that a similar pair shares but for one in 100,000 such pairs: 4.3 standard deviations below the mean."""
+    return int(coordinates * similarity - 4.3 * (coordinates * similarity * (1 - similarity)) ** 0.5)
+
+
+def _dense_links(dense: DataFrame, near: DataFrame, limit: float, similarity: float) -> DataFrame:
+    """`near` and what large buckets add. dense: pivot, doc, distance, print, cells.
+
+    Members far from their pivot are held against all members of the pivot's buckets, in pairs of blocks of bounded size:
+    by the bytes of their signatures first, then exactly. Of a far member's similar others only the closest few come out,
+    then, as components tell what those have linked, the closest of each other component: no link that joins components
+    is lost, and a group's pairs are never listed."""
+    big = lambda c, most: F.sum(F.length("cells") * F.col(c).cast("int")) / most
+    dense = dense.withColumn("far", F.col("distance") > limit).withColumn("any", F.lit(True))
+    blocks = lambda c, rows: F.ceil(F.greatest(F.count_if(F.col(c)) / rows, big(c, BLOCK_BYTES))).cast("int")
+    sizes = dense.groupBy("pivot").agg(blocks("far", BLOCK_FAR).alias("pbs"), blocks("any", BLOCK_ALL).alias("qbs"))
+    columns = ["pivot", "pb", "qb", "doc", "label", "distance", "print", "cells"]
+
+    def found(named: DataFrame, top: int | None) -> DataFrame:
+        x = named.join(sizes, "pivot").withColumn("h", F.xxhash64("doc"))
+        block = lambda c: F.pmod("h", F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = x.where("far").withColumn("pb", block("pbs")).withColumn("qb", every("qbs"))
+        right = x.where("doc != pivot and pbs > 0").withColumn("qb", block("qbs")).withColumn("pb", every("pbs"))
+
+        def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            rows: list[tuple[int, int, float]] = []
+            if len(p) and len(q):
+                prints = np.frombuffer(b"".join(q["print"]), np.uint8).reshape(len(q), -1)
+                least = least_agreement(similarity, prints.shape[1])
+                ids, labels, far, theirs = q["doc"].to_numpy(), q["label"].to_numpy(), q["distance"].to_numpy(), [np.frombuffer(c, np.uint64) for c in q["cells"]]
+                sizes_ = np.fromiter(map(len, theirs), np.int64, len(theirs))
+                for doc, label, d, own, mine in zip(p["doc"], p["label"], p["distance"], p["print"], p["cells"]):
+                    same = (prints == np.frombuffer(own, np.uint8)).sum(1)
+                    at = np.flatnonzero((same >= least) & (labels != label) & (np.abs(far - d) <= limit))
+                    if not len(at):
+                        continue
+                    mine = np.frombuffer(mine, np.uint64)
+                    flat = np.concatenate([theirs[i] for i in at])
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.bincount(np.repeat(np.arange(len(at)), sizes_[at]), hit, len(at))
+                    gap = 1 - both / (len(mine) + sizes_[at] - both)
+                    order = np.lexsort((ids[at], gap))
+                    order = order[gap[order] <= limit]
+                    if top is None:
+                        order = order[np.sort(np.unique(labels[at[order]], return_index=True)[1])]
+                    else:
+                        order = order[:top]
+                    rows += [(min(doc, ids[at[i]]), max(doc, ids[at[i]]), gap[i]) for i in order]
+            return pd.DataFrame(rows, columns=["a", "b", "distance"]).astype({"a": "int64", "b": "int64", "distance": "float64"})
+
+        # both sides come from one table: new names keep their columns apart
+        fresh = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in columns]).toDF(*columns)
+        keys = columns[:3]
+        pairs = fresh(left).groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInPandas(run, "a long, b long, distance double")
+        return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+    first = dense.withColumn("label", F.when(F.col("far"), F.col("doc")).otherwise(F.col("pivot")))
+    near = cut(near.union(found(first, CLOSEST)).groupBy("a", "b").agg(F.min("distance").alias("distance")))
+    mine = near.join(dense.select(F.col("doc").alias("b")).distinct(), "b", "left_semi")
+    labels = components(mine).select(F.col("id").alias("doc"), "label")
+    named = dense.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    return cut(near.union(found(named, None)).groupBy("a", "b").agg(F.min("distance").alias("distance")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -248,12 +337,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Documents are of one class if linked by a chain of pairs of similarity (weighted Jaccard of five-word shingles, words
     being runs of letters and digits in lower case) of at least `similarity`; equal word sequences are similar by
     definition, compared by a 128-bit key, once. Documents without words (null or empty texts) are classes of their own.
-    n_exact counts the documents of the same word sequence, n_links the compared and similar pairs with other sequences.
+    n_exact counts the documents of the same word sequence, n_links the links found with other sequences: all that join
+    components, not every pair of a large group.
     A null doc_id is a document like others and comes out as null. Rows that repeat a doc_id are of the class of the
     smallest text of that id. Other columns play no part; an empty table gives no rows."""
     sketched = cut(sketch(docs, bands, rows))
     worded = sketched.where(F.size("bands") > 0)
-    first = worded.where("doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"))
+    first = worded.where("doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     first = cut(first)
     near = cut(links(first, docs, similarity))
     labels = components(near)
