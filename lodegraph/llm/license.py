@@ -11,7 +11,7 @@ BROADCAST_ROWS = 20_000
 SALTS = 16
 
 #: Equivalent spellings, applied in this order to lower-case words between single blanks.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("organisation", "organization"), ("organisations", "organizations"), ("utilisation", "utilization"), ("recognised", "recognized"), ("favour", "favor"), ("behaviour", "behavior"), ("fulfil", "fulfill"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("merchantable quality", "merchantability"), ("copyright holders", "copyright holder"), ("copyright owner", "copyright holder"), ("http", "https"))
+SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("organisation", "organization"), ("organisations", "organizations"), ("utilisation", "utilization"), ("recognised", "recognized"), ("favour", "favor"), ("behaviour", "behavior"), ("fulfil", "fulfill"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("merchantable quality", "merchantability"), ("copyright holders", "copyright holder"), ("copyright owner", "copyright holder"), ("http", "https"))
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
