@@ -27,10 +27,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodegraph")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder (never a local checkpoint)."""
+#: Rows of a table of a few longs that one checkpoint file should hold, where their number is known beforehand.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder (never a local checkpoint). `rows`: a bound on the rows, if known, so
+    that small tables don't become many small files."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
 def text_or_empty(column: str = "text") -> Column:

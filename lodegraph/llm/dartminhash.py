@@ -191,17 +191,19 @@ def components(edges: DataFrame) -> DataFrame:
     the driver but whether edges are left."""
     edges = edges.select("a", "b").where("a != b")
     levels: list[DataFrame] = []
+    n = edges.count()
     while True:
         both = edges.union(edges.select("b", "a")).toDF("id", "other")
         point = both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label"))
         for _ in range(2):
             far = point.select(F.col("id").alias("label"), F.col("label").alias("far"))
             point = point.join(far, "label").select("id", F.col("far").alias("label"))
-        levels.append(cut(point))
+        levels.append(cut(point, 2 * n))
         ends = lambda name: levels[-1].select(F.col("id").alias(name), F.col("label").alias(f"to_{name}"))
         left = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        edges = cut(left.where("a != b").distinct())
-        if edges.isEmpty():
+        edges = cut(left.where("a != b").distinct(), n)
+        n = edges.count()
+        if not n:
             break
     out = levels[0]
     for level in levels[1:]:
@@ -242,7 +244,7 @@ def links(sketched: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     placed = cut(placed.join(far, "bucket"))
     few = F.col("far") * F.col("n") <= OPEN_PAIRS
     todo = _open_pairs(placed.where(few), limit).join(seen, ["a", "b"], "left_anti")
-    seen = cut(seen.union(similarities(todo, texts)))
+    seen = seen.union(cut(similarities(todo, texts)))
     dense = placed.where(~few).select("pivot", "doc", "distance").distinct()
     dense = dense.join(sketched.select(F.col("doc_id").alias("doc"), "print"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     dense = cut(_with_cells(dense))
@@ -345,7 +347,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     worded = sketched.where(F.size("bands") > 0)
     first = worded.where("doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     first = cut(first)
-    near = cut(links(first, docs, similarity))
+    near = links(first, docs, similarity)
     labels = components(near)
     degree = near.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     named = first.select("text_hi", "text_lo", "doc_id", "n_exact").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").join(degree, "doc_id", "left")
