@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of 4-grams per language. Counts come from all training text, in one distributed pass; each model keeps its
-most frequent 4-grams within a documented bound, so that what executors receive never outgrows it. Models are stored
+One model of 4-grams per language. Counts come from all training text, in one distributed pass, and each model keeps all
+of its 4-grams: what the driver and executors receive grows with the number of different ones. Models are stored
 together: for each order one sorted array of 64-bit hashes, beside a row of log probabilities per language.
 """
 
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import code_points, mix64, spans_of, texts_of
 
 ORDER = 4
-#: 4-grams that all models keep together, the most frequent of each language first (about 12 bytes and 4 per language each).
-MAX_GRAMS = 2_000_000
 #: Documents on which the rejection limits are calibrated, those of the smallest hashes.
 CALIBRATION_DOCS = 8192
 #: A counting task hands its sums on when it holds so many 4-grams.
@@ -254,28 +252,14 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel:
+def fit(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel:
     """Models of all languages in `docs` (doc_id, text, lang); rows with null text or lang are left out.
 
-    Counts cover all rows. Of each language's 4-grams those above a count are kept, the lowest at which all languages
-    together keep at most `max_grams`, found from a histogram of counts. Limits of rejection: twice the 0.999 quantile of the standardised
+    Counts cover all rows, and every counted 4-gram is kept. Limits of rejection: twice the 0.999 quantile of the standardised
     cross-entropy of `calibration_docs` documents of the smallest id hashes."""
     spark = docs.sparkSession
     training = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = count_grams(training).persist()
-    level = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
-    histogram = counted.groupBy("lang", level.alias("level")).count().collect()
-    langs = sorted({r["lang"] for r in histogram})
-    least: dict[str, int] = {}
-    for lang in langs:
-        room = max_grams // max(1, len(langs))
-        levels = sorted((r["level"], r["count"]) for r in histogram if r["lang"] == lang)
-        while len(levels) > 1 and sum(c for _, c in levels) > room:
-            levels.pop(0)
-        least[lang] = levels[0][0]
-    kept = counted.where(level >= F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(least[lang]))]), F.col("lang"))) if langs else counted
-    table = kept.toPandas()
-    counted.unpersist()
+    table = count_grams(training).toPandas()
     models = KneserNey({lang: (g["code"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")})
     shared = spark.sparkContext.broadcast(models)
     ids = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_docs)

@@ -76,6 +76,14 @@ def test_language_models_equal_brute_force(spark):
         assert model.models.cross_entropy([t])[0][0, 0] == pytest.approx(slow(t), rel=1e-4)
 
 
+def test_language_models_keep_every_gram(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 1000))) for _ in range(2300)] + ["the quick river"] * 20
+    train = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    keys, _ = langid.fit(train.repartition(8)).models.order[langid.ORDER]
+    assert len(keys.keys) - 1 == len(np.unique(langid.grams(texts)[0])) > 2_200_000
+
+
 def test_language_held_out_accuracy_and_fold(spark, sf):
     out = queries.op1_language_id(spark, sf).alias("o").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), "doc_id")
     seen = out.where("held_out and lang is not null and text rlike '[A-Za-z]{3}'").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.min("score"), F.max("score")).first()
