@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import code_points, mix64, spans_of, texts_of
 
 ORDER = 4
-#: Documents on which the rejection limits are calibrated, those of the smallest hashes.
-CALIBRATION_DOCS = 8192
+#: A language with fewer documents than this takes the rejection limit of all languages together.
+OWN_LIMIT_DOCS = 8
+#: The quantile behind a limit is off by at most one rank in so many.
+QUANTILE_ACCURACY = 100_000
 #: A counting task hands its sums on when it holds so many 4-grams.
 HELD_GRAMS = 1_500_000
 SCORE_SYMBOLS = 32
@@ -252,18 +254,17 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel:
+def fit(docs: DataFrame) -> LanguageModel:
     """Models of all languages in `docs` (doc_id, text, lang); rows with null text or lang are left out.
 
-    Counts cover all rows, and every counted 4-gram is kept. Limits of rejection: twice the 0.999 quantile of the standardised
-    cross-entropy of `calibration_docs` documents of the smallest id hashes."""
+    Counts cover all rows, and every counted 4-gram is kept. Limits of rejection: twice the 0.999 quantile of the
+    standardised cross-entropy of all the language's documents with a letter; languages of fewer than OWN_LIMIT_DOCS of
+    them take mean and limit of the documents of all languages."""
     spark = docs.sparkSession
-    training = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    training = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     table = count_grams(training).toPandas()
     models = KneserNey({lang: (g["code"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")})
     shared = spark.sparkContext.broadcast(models)
-    ids = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_docs)
-    sample = training.join(F.broadcast(ids.where(F.col("doc_id").isNotNull()).distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {x: i for i, x in enumerate(shared.value.langs)}
@@ -275,14 +276,25 @@ def fit(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> LanguageMo
                 ok = (n > 0) & (own >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(ce[ok, own[ok]]), pa.array(n[ok])], names=["lang", "ce", "n"])
 
-    seen = sample.mapInArrow(run, "lang long, ce double, n long").toPandas()
+    seen = training.mapInArrow(run, "lang long, ce double, n long").persist()
     k = len(models.langs)
-    mean, limit = np.zeros(k), np.full(k, np.inf)
-    for i in range(k):
-        own = seen[seen["lang"] == i]
-        if len(own) >= 8:
-            mean[i] = np.average(own["ce"], weights=own["n"])
-            limit[i] = 2 * max(np.quantile((own["ce"] - mean[i]) * np.sqrt(own["n"]), 0.999), 1.0)
+    sums = {r["lang"]: r for r in seen.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("ce") * F.col("n")).alias("nats"), F.sum("n").alias("n")).collect()}
+    common = sum(r["nats"] for r in sums.values()) / max(sum(r["n"] for r in sums.values()), 1)
+    own = [i in sums and sums[i]["docs"] >= OWN_LIMIT_DOCS for i in range(k)]
+    mean = np.array([sums[i]["nats"] / sums[i]["n"] if own[i] else common for i in range(k)], float)
+
+    def limit_of(centre: Column) -> Column:
+        return 2 * F.greatest(F.percentile_approx((F.col("ce") - centre) * F.sqrt("n"), 0.999, QUANTILE_ACCURACY), F.lit(1.0))
+
+    limit = np.full(k, np.inf)
+    if not all(own):
+        limit[:] = seen.agg(limit_of(F.lit(common))).first()[0]
+    if any(own):
+        means = F.get(F.array(*[F.lit(float(m)) for m in mean]), F.col("lang").cast("int"))
+        for r in seen.groupBy("lang").agg(limit_of(means).alias("limit")).collect():
+            if own[r["lang"]]:
+                limit[r["lang"]] = r["limit"]
+    seen.unpersist()
     return LanguageModel(models, mean, limit)
 
 

@@ -114,6 +114,23 @@ def test_language_rejects_noise_and_keeps_clean(spark, docs):
     assert langid.keep_identified(clean, model).count() >= 0.98 * clean.count()
 
 
+def test_language_limits_come_from_all_rows(spark):
+    words, others = LONG.split(), "der schnelle braune fuchs springt heute weit hinter den alten zaun am fluss".split()
+    texts = [(i if i % 2 else None, " ".join(words[i * 30 : i * 30 + 5 + i % 40]), "en") for i in range(400)]
+    texts += [(None, " ".join(others[i:] + others[:i]), "de") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    ce, n = model.models.cross_entropy([t for _, t, _ in texts])
+    ce, n, en = ce[np.arange(len(texts)), [model.models.langs.index(x) for *_, x in texts]], n, np.array([x == "en" for *_, x in texts])
+    for rows, lang in ((en, "en"), (en | ~en, "de")):
+        i, mean = model.models.langs.index(lang), np.average(ce[rows], weights=n[rows])
+        z = np.sort((ce[rows] - mean) * np.sqrt(n[rows]))
+        assert model.mean[i] == pytest.approx(mean)
+        assert model.limit[i] == pytest.approx(2 * max(z[int(np.ceil(0.999 * len(z))) - 1], 1.0))
+    noise = "".join(np.random.default_rng(0).choice(list("qxzwvkj"), 400)) + " " + " ".join(others)
+    names, _, _, rejected = model.judge([noise])
+    assert names == ["de"] and rejected[0]
+
+
 # 2 licence scans ----------------------------------------------------------------------------------------------------
 
 
