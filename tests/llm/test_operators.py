@@ -334,6 +334,18 @@ def test_secrets_hard_cases(spark):
     assert secret_scan.scan_secrets(no_docs(spark)).count() == 0
 
 
+def test_secrets_are_redacted_whole(spark):
+    body = "\n".join("MIIEvQIBADANBgkqhkiG9w0BAQEFAASC" + str(i) for i in range(40))
+    keys = [f"-----BEGIN {k}PRIVATE KEY-----\n{body}\n" for k in ("", "RSA ", "SOME OTHER ")]
+    logins = [f"https://{user}:{word}@" for user, word in (("oauth2", "t" * 500), ("u" * 200, "hunter2"), ("u", "abc"))]
+    texts = [f"before {k}-----END PRIVATE KEY----- after" for k in keys] + [f"before {k}" for k in keys] + [f"before {x}host after" for x in logins]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_scan.redact_secrets(table).orderBy("doc_id").collect()]
+    assert got == ["before [REDACTED:private_key] after"] * 3 + ["before [REDACTED:private_key]"] * 3 + ["before [REDACTED:url_login]host after"] * 3
+    two = f"{keys[0]}-----END PRIVATE KEY----- between {keys[1]}-----END RSA PRIVATE KEY-----"
+    assert secret_scan.redact(two, secret_scan.Scanner(secret_scan.BASE + secret_scan.EXTRA).scan([two])[0]) == "[REDACTED:private_key] between [REDACTED:private_key]"
+
+
 # 7 chat formatting --------------------------------------------------------------------------------------------------
 
 
