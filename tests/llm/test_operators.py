@@ -174,6 +174,19 @@ def test_mixing_in_spark_equals_driver(spark, docs, monkeypatch):
     assert all(few[k][:2] == pytest.approx(many[k][:2], rel=1e-2, abs=1e-4) for k in few)
 
 
+def test_mixing_beyond_driver_cells_equals_driver(spark, monkeypatch):
+    """Marginals that take more than 30 rounds, a null dimension, cells without tokens and cells at probability 1."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(["w"] * int(n)), "en" if a == b else "de" if a < 2 else None, f"s{a}", f"t{b}") for i, (a, b, n) in enumerate((a, b, 400 if a == b else rng.integers(0, 3)) for a in range(4) for b in range(4))]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, topic string").repartition(3)
+    target = mixing.MixTarget((("source", 0.2), ("lang", 0.1), ("topic", 0.9)), 0.7)
+    few = {r.doc_id: (r.weight, r.probability) for r in mixing.mix(table, target).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    many = {r.doc_id: (r.weight, r.probability) for r in mixing.mix(table, target).collect()}
+    assert few.keys() == many.keys() and any(p == 1 for _, p in few.values())
+    assert all(few[k] == pytest.approx(many[k], rel=1e-6, abs=1e-9) for k in few)
+
+
 def test_mixing_sample_follows_target(spark, sf):
     out = queries.op3_mixing(spark, sf)
     total = out.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")), F.sum(F.when(F.col("sampled"), F.col("n_tokens")))).first()
