@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.blocks import best, bounded_sample, finite, matrix, search
 
-#: Vectors that the partition and the network are fitted on, at most.
-SAMPLE_ROWS = 6000
-#: Rows a part should hold, and how many parts there are at most; larger parts are salted into blocks.
-PART_ROWS, MAX_PARTS = 1024, 64
+#: Rows a part should hold. Tables of any size have parts, MIN_PARTS at least.
+PART_ROWS, MIN_PARTS = 256, 12
+#: Vectors that the partition and the network are fitted on: PART_SAMPLE for each part, within these bounds. Beyond the
+#: 1024 parts that the upper bound allows, parts hold more rows and are salted into blocks.
+SAMPLE_LEAST, SAMPLE_MOST, PART_SAMPLE = 6144, 24_576, 24
 NEIGHBOURS = 10
 #: Queries visit as many parts as it takes to find this share of true neighbours in the sample.
 TARGET_RECALL = 0.94
@@ -125,20 +126,29 @@ def _train(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 6
     return Router(mean, scale, *w, 1)
 
 
+def parts_of(rows: int) -> int:
+    """Parts of a table of so many rows."""
+    return int(min(SAMPLE_MOST // PART_SAMPLE, max(MIN_PARTS, rows // PART_ROWS)))
+
+
+def sample_rows(rows: int) -> int:
+    return max(SAMPLE_LEAST, parts_of(rows) * PART_SAMPLE)
+
+
 def fit(sample: np.ndarray, rows: int) -> Router:
     """A router for a table of so many rows, from a bounded sample of them.
 
     The number of probes is found on a third of the sample that the network isn't trained on; neighbours in a sample are
     farther than in the table, which errs towards more probes."""
     width = sample.shape[1] if sample.size else 1
-    parts = int(min(MAX_PARTS, max(1, rows // PART_ROWS)))
     x = np.unique(sample, axis=0) if sample.size else sample  # copies of a vector would fill its neighbourhood
     x = x[np.random.default_rng(1).permutation(len(x))]
-    if parts == 1 or len(x) < 20 * parts:
+    parts = min(parts_of(rows), len(x) // 6)
+    if parts < 2:  # under twelve different vectors: nothing to partition
         return Router(np.zeros(width), 1.0, np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    k = min(NEIGHBOURS, len(x) - 1)
     learn, held = np.arange(len(x) * 2 // 3), np.arange(len(x) * 2 // 3, len(x))
     own = x[learn]
+    k = min(NEIGHBOURS, len(own) - 1)
     graph = _nearest(own, k)
     label = balanced_parts(own, graph, parts)
     target = np.zeros((len(own), parts))
@@ -187,7 +197,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, column: str
     sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.col("count").desc(), "width").first()
     width, n = (sizes["width"], sizes["count"]) if sizes else (1, 0)
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    router = fit(bounded_sample(rows, SAMPLE_ROWS)[1], n)
+    router = fit(bounded_sample(rows, sample_rows(n))[1], n)
     filed, sent = _routed(rows, router, 1), _routed(asked, router, router.probes)
     counts = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}
     wanted = {r["part"]: r["count"] for r in sent.groupBy("part").count().collect()}

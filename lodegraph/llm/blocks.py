@@ -36,23 +36,23 @@ def bounded_sample(vectors: DataFrame, rows: int, seed: int = 5) -> tuple[np.nda
     return ids, matrix(picked.column("v").combine_chunks()) if len(ids) else np.zeros((0, 0))
 
 
-def search(rows: DataFrame, queries: DataFrame, counts: dict[int, int], asked: dict[int, int], work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, largest: bool, score: str) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, counts: dict[int, int], asked: dict[int, int], work: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, largest: bool, score: str) -> DataFrame:
     """query_id, rank, vec_id, score: of what `work` finds in each pair of blocks, the best k of each query.
 
-    rows: part, id, v. queries: part, id, v, a row for each part that a query visits. counts, asked: their numbers by
-    part (a bounded number of parts). Each row block goes to every query block of its part and the other way round."""
-    spark = rows.sparkSession
+    rows: part, id, v. queries: part, id, v and, if `work` takes it as the last argument, floor; a row for each part that
+    a query visits. counts, asked: their numbers by part (a bounded number of parts). Each row block goes to every query block of its part and the other way round."""
+    spark, extra = rows.sparkSession, [c for c in queries.columns if c == "floor"]
     parts = [(p, -(-counts[p] // BLOCK_ROWS), -(-asked.get(p, 0) // BLOCK_QUERIES)) for p in sorted(counts) if asked.get(p)]
     plan = F.broadcast(spark.createDataFrame(parts or [(-1, 1, 1)], "part int, row_blocks int, query_blocks int"))
     salt = lambda n: F.pmod(F.xxhash64("id", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = queries.join(plan, "part").withColumn("qb", salt("query_blocks")).withColumn("rb", every("row_blocks")).select("part", "rb", "qb", "id", "v")
+    left = queries.join(plan, "part").withColumn("qb", salt("query_blocks")).withColumn("rb", every("row_blocks")).select("part", "rb", "qb", "id", "v", *extra)
     right = rows.join(plan, "part").withColumn("rb", salt("row_blocks")).withColumn("qb", every("query_blocks")).select("part", "rb", "qb", "id", "v")
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        a, b, s = work(q["id"].to_numpy(np.int64), matrix(q["v"]), x["id"].to_numpy(np.int64), matrix(x["v"]))
+        a, b, s = work(q["id"].to_numpy(np.int64), matrix(q["v"]), x["id"].to_numpy(np.int64), matrix(x["v"]), *(q[c].to_numpy(np.float64) for c in extra))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInPandas(run, f"query_id long, vec_id long, score {score}")

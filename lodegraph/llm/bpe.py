@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +34,7 @@ FREE, IN_LETTERS, IN_NUMBER, IN_OTHER, AFTER_SPACE, IN_SPACES, ONE_LEFT, TWO_LEF
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or SPACES by code point; by the Unicode version of tiktoken where that is installed."""
+    """LETTER, NUMBER, OTHER or SPACES by code point, by tiktoken's own Unicode version: whoever encodes must have it."""
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, name in ((LETTER, "L"), (NUMBER, "N")):
         out[_members(name)] = kind
@@ -44,11 +43,9 @@ def class_table() -> np.ndarray:
 
 
 def _members(category: str) -> list[int]:
+    from tiktoken import Encoding
+
     points = [cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000]
-    try:
-        from tiktoken import Encoding
-    except ModuleNotFoundError:
-        return [cp for cp in points if unicodedata.category(chr(cp))[0] == category]
     engine = Encoding(category, pat_str=rf"\p{{{category}}}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
     return list(map(ord, bytes(engine.encode_ordinary("".join(map(chr, points)))).decode()))
 
@@ -287,14 +284,19 @@ def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) ->
 
 
 def encode_columns(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
-    """These columns of each document, and `ids` array<int>; a null or empty text has an empty array. Rows are not moved."""
+    """These columns of each document, and `ids` array<int>, in place of one of that name; a null or empty text has an
+    empty array. Rows are not moved."""
     shared = SharedVocabulary(docs.sparkSession, path or default_path())
-    own = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    columns = [c for c in columns if c != "ids"]
+    hidden = "_text"
+    while hidden in columns:
+        hidden += "_"
+    own = docs.select(*columns, F.col("text").cast("string").alias(hidden))
     schema = docs.select(*columns).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in _parts(batch, texts_of(batch, "_text")):
+            for rows, texts in _parts(batch, texts_of(batch, hidden)):
                 ids, counts, _ = shared.get().encode(texts)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), list_array(ids, counts)], names=[*columns, "ids"])
 

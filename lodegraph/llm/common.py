@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one of our own only where none is set."""
+    """Keep the cluster's shared checkpoint folder. In local mode, as in tests, one is set where none is; a cluster
+    without one is an error, since a folder of one machine is no use there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodegraph")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/lodegraph")
 
 
 #: Rows of a table of a few longs that one checkpoint file should hold, where their number is known beforehand.

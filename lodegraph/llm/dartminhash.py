@@ -27,8 +27,12 @@ BANDS, ROWS = 20, 5
 FIRST_LEVEL = -9
 #: Salts for mappings whose keys may be shared by a large part of all rows.
 SALTS = 16
-#: Buckets whose open comparisons number at most so many are compared pair by pair, larger ones by blocks of signatures.
+#: Buckets whose open comparisons number at most so many are compared pair by pair, larger ones in blocks; both exactly.
 OPEN_PAIRS = 2000
+#: Pairs of one pivot that meet in one task, about.
+PIVOT_PAIRS = 512
+#: What a text costs beyond its characters when texts are sliced: short ones throw as many darts as others.
+TEXT_COST = 400
 #: Members far from the pivot, and members of any kind, that a block holds, about.
 BLOCK_FAR, BLOCK_ALL = 512, 4096
 BLOCK_BYTES = 24 << 20
@@ -124,35 +128,44 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: rows of the same doc_id and hash are the same document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hi, text_lo (of the word sequence), bands array<long> (empty without words), print: a byte of each
-    coordinate of the signature."""
+    """doc_id, h (of the text), text_hi, text_lo (of the word sequence), bands array<long> (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in spans_of(map(len, texts)):
+            for a, b in spans_of(len(t) + TEXT_COST for t in texts):
                 cell, counts, hi, lo = cells(texts[a:b])
                 full = np.flatnonzero(counts)
-                signature = signatures(cell, counts[full], bands * rows)
-                keys = band_keys(signature, bands, rows)
-                prints = np.zeros((b - a, bands * rows), np.uint8)
-                prints[full] = signature.astype(np.uint8)
+                keys = band_keys(signatures(cell, counts[full], bands * rows), bands, rows)
                 lengths = np.where(counts > 0, bands, 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), list_array(keys.reshape(-1).view(np.int64), lengths), pa.array([x.tobytes() for x in prints], pa.binary())], names=["doc_id", "text_hi", "text_lo", "bands", "print"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), list_array(keys.reshape(-1).view(np.int64), lengths)], names=["doc_id", "h", "text_hi", "text_lo", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_hi long, text_lo long, bands array<long>, print binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, h long, text_hi long, text_lo long, bands array<long>")
 
 
 def whole_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents with these ids, the smallest text where an id is repeated; written once."""
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return cut(mine.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    """doc, text of each of `ids` (doc, doc_id, h: a number for a document and what it is known by); written once."""
+    theirs = ids.select("doc", F.col("doc_id").alias("own_id"), F.col("h").alias("own_h"))
+    mine = keyed(docs).join(theirs, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
+    return cut(mine.groupBy("doc").agg(F.min("text").alias("text")))
 
 
 def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, distance: exact weighted Jaccard distance of each pair of doc_ids, over whole texts."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """a, b, distance: exact weighted Jaccard distance of each pair of documents, over whole texts.
+
+    The pairs of a document that has many (the pivot of a large bucket) are dealt to several tasks, its text to each."""
+    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts")))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    firsts = parts.select(F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, "doc")
+    firsts = firsts.select(F.col("doc").alias("a"), "part", F.col("text").alias("text_a"))
+    both = dealt.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(firsts, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -228,15 +241,15 @@ def _open_pairs(x: DataFrame, limit: float) -> DataFrame:
 def links(sketched: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, distance of similar pairs that share a band, enough of them that every similar pair is linked through them.
 
-    `sketched` holds one document of each word sequence. In each bucket all members are compared with its smallest id,
+    `sketched` holds one document of each word sequence (doc, a number; doc_id, h; bands). In each bucket all members are compared with its smallest id,
     the pivot. Members near it are linked by that. Distances are a metric, so two members that lie further apart on the
-    pivot's scale than the limit can't be similar; what stays open is compared pair by pair in small buckets, and by
-    blocks of signatures in large ones. No bucket is capped."""
+    pivot's scale than the limit can't be similar; what stays open is compared pair by pair in small buckets, and in
+    blocks in large ones. No bucket is capped."""
     limit = 1 - similarity + 1e-12
-    members = sketched.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
+    members = sketched.select(F.explode("bands").alias("bucket"), "doc")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1")
     members = cut(members.join(sizes, "bucket"))
-    texts = whole_texts(docs, members.select(F.col("doc").alias("doc_id")).distinct())
+    texts = whole_texts(docs, sketched.select("doc", "doc_id", "h").join(members.select("doc").distinct(), "doc", "left_semi"))
     pairs = members.where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     seen = cut(similarities(pairs, texts))
     placed = _with_distance(members.where("n > 2"), seen)
@@ -246,14 +259,13 @@ def links(sketched: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     todo = _open_pairs(placed.where(few), limit).join(seen, ["a", "b"], "left_anti")
     seen = seen.union(cut(similarities(todo, texts)))
     dense = placed.where(~few).select("pivot", "doc", "distance").distinct()
-    dense = dense.join(sketched.select(F.col("doc_id").alias("doc"), "print"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    dense = cut(_with_cells(dense))
+    dense = cut(_with_cells(dense.join(texts, "doc")))
     near = seen.where(F.col("distance") <= limit)
-    return near if dense.isEmpty() else _dense_links(dense, near, limit, similarity)
+    return near if dense.isEmpty() else _dense_links(dense, near, limit)
 
 
 def _with_cells(rows: DataFrame) -> DataFrame:
-    """pivot, doc, distance, print and the ascending cells of the text as bytes."""
+    """pivot, doc, distance and the ascending cells of the text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,28 +275,48 @@ def _with_cells(rows: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 data = [np.sort(cell[e - c : e]).tobytes() for e, c in zip(ends, counts)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("pivot", "doc", "distance", "print")), pa.array(data, pa.binary())], names=["pivot", "doc", "distance", "print", "cells"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("pivot", "doc", "distance")), pa.array(data, pa.binary())], names=["pivot", "doc", "distance", "cells"])
+
+    return rows.select("pivot", "doc", "distance", "text").mapInArrow(run, "pivot long, doc long, distance double, cells binary")
+
 
-    return rows.select("pivot", "doc", "distance", "print", "text").mapInArrow(run, "pivot long, doc long, distance double, print binary, cells binary")
+class Bitmaps:
+    """Which slots of a row of bits each set of cells occupies. A slot that one set occupies and the other doesn't holds a
+    cell of the first alone, so the bits tell, never wrongly, that a pair shares too few cells."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        usual = int(np.quantile(self.sizes, 0.9)) if len(sets) else 1
+        self.shift = np.uint64(64 - min(14, max(9, int(4 * usual).bit_length())))
+        self.bits = np.stack([self._row(x) for x in sets]) if sets else np.zeros((0, 1), np.uint64)
 
-def least_agreement(similarity: float, coordinates: int) -> int:
-    """Coordinates that a similar pair shares but for one in 100,000 such pairs: 4.3 standard deviations below the mean."""
-    return int(coordinates * similarity - 4.3 * (coordinates * similarity * (1 - similarity)) ** 0.5)
+    def _row(self, cell: np.ndarray) -> np.ndarray:
+        row = np.zeros(1 << (64 - int(self.shift)), bool)
+        row[(cell >> self.shift).astype(np.int64)] = True
+        return np.packbits(row).view(np.uint64)
 
+    def may_be_similar(self, cell: np.ndarray, similarity: float, among: np.ndarray) -> np.ndarray:
+        """Those of the sets numbered `among` whose weighted Jaccard similarity to `cell` isn't ruled out."""
+        shared = similarity / (1 + similarity) * (len(cell) + self.sizes[among]) - 1e-6
+        among, shared = among[(shared <= len(cell)) & (shared <= self.sizes[among])], shared[(shared <= len(cell)) & (shared <= self.sizes[among])]
+        own, theirs = self._row(cell), self.bits[among]
+        fits = np.bitwise_count(own & ~theirs).sum(1) <= len(cell) - shared
+        fits &= np.bitwise_count(theirs & ~own).sum(1) <= self.sizes[among] - shared
+        return among[fits]
 
-def _dense_links(dense: DataFrame, near: DataFrame, limit: float, similarity: float) -> DataFrame:
-    """`near` and what large buckets add. dense: pivot, doc, distance, print, cells.
+
+def _dense_links(dense: DataFrame, near: DataFrame, limit: float) -> DataFrame:
+    """`near` and what large buckets add. dense: pivot, doc, distance, cells.
 
     Members far from their pivot are held against all members of the pivot's buckets, in pairs of blocks of bounded size:
-    by the bytes of their signatures first, then exactly. Of a far member's similar others only the closest few come out,
+    by bitmaps that rule out most pairs and no similar one, then exactly. Of a far member's similar others only the closest few come out,
     then, as components tell what those have linked, the closest of each other component: no link that joins components
     is lost, and a group's pairs are never listed."""
     big = lambda c, most: F.sum(F.length("cells") * F.col(c).cast("int")) / most
     dense = dense.withColumn("far", F.col("distance") > limit).withColumn("any", F.lit(True))
     blocks = lambda c, rows: F.ceil(F.greatest(F.count_if(F.col(c)) / rows, big(c, BLOCK_BYTES))).cast("int")
     sizes = dense.groupBy("pivot").agg(blocks("far", BLOCK_FAR).alias("pbs"), blocks("any", BLOCK_ALL).alias("qbs"))
-    columns = ["pivot", "pb", "qb", "doc", "label", "distance", "print", "cells"]
+    columns = ["pivot", "pb", "qb", "doc", "label", "distance", "cells"]
 
     def found(named: DataFrame, top: int | None) -> DataFrame:
         x = named.join(sizes, "pivot").withColumn("h", F.xxhash64("doc"))
@@ -296,16 +328,14 @@ def _dense_links(dense: DataFrame, near: DataFrame, limit: float, similarity: fl
         def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             rows: list[tuple[int, int, float]] = []
             if len(p) and len(q):
-                prints = np.frombuffer(b"".join(q["print"]), np.uint8).reshape(len(q), -1)
-                least = least_agreement(similarity, prints.shape[1])
                 ids, labels, far, theirs = q["doc"].to_numpy(), q["label"].to_numpy(), q["distance"].to_numpy(), [np.frombuffer(c, np.uint64) for c in q["cells"]]
-                sizes_ = np.fromiter(map(len, theirs), np.int64, len(theirs))
-                for doc, label, d, own, mine in zip(p["doc"], p["label"], p["distance"], p["print"], p["cells"]):
-                    same = (prints == np.frombuffer(own, np.uint8)).sum(1)
-                    at = np.flatnonzero((same >= least) & (labels != label) & (np.abs(far - d) <= limit))
+                maps = Bitmaps(theirs)
+                sizes_ = maps.sizes
+                for doc, label, d, mine in zip(p["doc"], p["label"], p["distance"], p["cells"]):
+                    mine = np.frombuffer(mine, np.uint64)
+                    at = maps.may_be_similar(mine, 1 - limit, np.flatnonzero((labels != label) & (np.abs(far - d) <= limit)))
                     if not len(at):
                         continue
-                    mine = np.frombuffer(mine, np.uint64)
                     flat = np.concatenate([theirs[i] for i in at])
                     hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
                     both = np.bincount(np.repeat(np.arange(len(at)), sizes_[at]), hit, len(at))
@@ -333,6 +363,31 @@ def _dense_links(dense: DataFrame, near: DataFrame, limit: float, similarity: fl
     return cut(near.union(found(named, None)).groupBy("a", "b").agg(F.min("distance").alias("distance")))
 
 
+def _classified(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, h, worded, class_id, n_exact, n_links of each row, and the document that stands for its class: kept_id,
+    kept_h. For rows without words the last four are null."""
+    sketched = cut(sketch(docs, bands, rows))
+    worded = sketched.where(F.size("bands") > 0)
+    # nulls come last: a document without doc_id stands for others only where none has one
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    first = worded.groupBy("text_hi", "text_lo").agg(least.alias("own"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"))
+    first = cut(first.select("text_hi", "text_lo", "own", "own.doc_id", "own.h", "n_exact", "bands", F.monotonically_increasing_id().alias("doc")))
+    near = links(first, docs, similarity)
+    labels = components(near)
+    degree = near.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
+    linked = cut(first.select("doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc"))
+    kept = linked.groupBy("label").agg(F.min("own").alias("kept"))
+    classes = linked.join(kept, "label").select("doc", "kept")
+    named = first.select("text_hi", "text_lo", "doc", "own", "n_exact").join(classes, "doc", "left").join(degree, "doc", "left")
+    told = named.select("text_hi", "text_lo", F.coalesce("kept", "own").alias("kept"), "n_exact", "n_links").where("n_exact > 1 or n_links > 0")
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = sketched.select("doc_id", "h", "text_hi", "text_lo", (F.size("bands") > 0).alias("worded")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int"))
+    # a text without words has the key of no words: it is nobody's copy
+    out = mine.join(told, ["text_hi", "text_lo", "salt"], "left")
+    of = lambda c: F.when(F.col("worded"), F.col(c))
+    return out.select("doc_id", "h", "worded", of("kept").alias("kept"), of("n_exact").alias("n_exact"), of("n_links").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, n_exact, n_links: the class of each document is named by its smallest doc_id.
 
@@ -341,27 +396,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     definition, compared by a 128-bit key, once. Documents without words (null or empty texts) are classes of their own.
     n_exact counts the documents of the same word sequence, n_links the links found with other sequences: all that join
     components, not every pair of a large group.
-    A null doc_id is a document like others and comes out as null. Rows that repeat a doc_id are of the class of the
-    smallest text of that id. Other columns play no part; an empty table gives no rows."""
-    sketched = cut(sketch(docs, bands, rows))
-    worded = sketched.where(F.size("bands") > 0)
-    first = worded.where("doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"), F.first("print").alias("print"))
-    first = cut(first)
-    near = links(first, docs, similarity)
-    labels = components(near)
-    degree = near.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    named = first.select("text_hi", "text_lo", "doc_id", "n_exact").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").join(degree, "doc_id", "left")
-    told = named.where("n_exact > 1 or label is not null").select("text_hi", "text_lo", F.coalesce("label", "doc_id").alias("class_id"), "n_exact", "n_links")
-    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = sketched.select("doc_id", "text_hi", "text_lo", (F.size("bands") > 0).alias("worded")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = mine.join(told, ["text_hi", "text_lo", "salt"], "left")
-    # a text without words has the key of no words: it is nobody's copy
-    value = lambda c, other: F.when(F.col("worded"), F.coalesce(c, other)).otherwise(other)
-    return out.select("doc_id", value("class_id", F.col("doc_id")).alias("class_id"), value("n_exact", F.lit(1)).cast("long").alias("n_exact"), value("n_links", F.lit(0)).cast("long").alias("n_links"))
+    A null doc_id is a document like others and comes out as null; a class of such documents alone has a null name. Rows
+    that repeat a doc_id are each of the class of their own text. Other columns play no part; an empty table gives no
+    rows."""
+    out = _classified(docs, similarity, bands, rows)
+    name = F.when(F.col("kept").isNotNull(), F.col("kept")["doc_id"]).otherwise(F.col("doc_id"))
+    return out.select("doc_id", name.alias("class_id"), F.coalesce("n_exact", F.lit(1)).cast("long").alias("n_exact"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, as they are, that name their class: one of each group stays, the one of the smallest doc_id.
-    Rows without a doc_id stay. Of rows that repeat a doc_id, all stay or none."""
-    gone = near_duplicates(docs, similarity).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, as they are, that stand for their class: one of each group stays, the one of the smallest doc_id.
+
+    A document without doc_id stays only where no other of its class has one, and then one of them does. Rows that
+    repeat a doc_id are judged by their own texts; rows that repeat both doc_id and text are one document, and all of
+    them stay or none."""
+    told = _classified(docs, similarity, BANDS, ROWS).where("kept is not null")
+    same = F.col("doc_id").eqNullSafe(F.col("kept")["doc_id"]) & (F.col("h") == F.col("kept")["h"])
+    nameless = told.where(same & F.col("doc_id").isNull() & (F.col("n_exact") > 1))
+    gone = cut(told.where(~same).union(nameless).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
+    again = cut(nameless.select(F.col("h").alias("gone_h")).distinct())
+    p = "_keep"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    mine = docs.withColumn(p, F.xxhash64(text_or_empty()))
+    out = mine.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(p) == F.col("gone_h")), "left_anti")
+    if not again.isEmpty():  # copies without any doc_id: one row of each text
+        out = out.unionByName(mine.where("doc_id is null").join(again, F.col(p) == F.col("gone_h"), "left_semi").dropDuplicates([p]))
+    return out.select(*docs.columns)

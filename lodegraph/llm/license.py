@@ -76,24 +76,30 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
-#: Lines that only state a copyright, dropped with their line break; text is in lower case by then.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(19|20)[0-9][0-9][^\n]*"
+#: Lines that only state a copyright, with a year or without, dropped with their line break; text is in lower case by
+#: then. A line of the licence itself may begin "copyright holder" or "copyright notice", or with the list mark "(c)".
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*((copyright|\(c\)|©)[^\n]*(19|20)[0-9][0-9]|copyright[ \t]*(\(c\)|©|by[ \t:])|©)[^\n]*"
 RIGHTS_LINE = r"(^|\n)[ \t#*/;-]*all rights reserved[. \t]*"
+#: ASCII but letters and digits, no-break and other blanks, general punctuation (dashes, quotes, dots), and the marks
+#: of Latin-1 that print in licences.
+PUNCTUATION = r"[\x00-/:-`{-\x7f\x{80}-\x{a0}\x{a7}\x{a9}\x{ab}\x{ad}\x{b6}\x{b7}\x{bb}\x{2000}-\x{206f}\x{3000}\x{feff}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: List marks at the start of a line: "1.", "(a)", "*", "-".
 BULLET = r"(^|\n)[ \t#*/;-]*(\(?[0-9a-z][.)][ \t])?"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A to Z), no copyright lines, no list marks, runs of anything but a-z, 0-9 and non-ASCII as one blank,
-    and equivalent spellings made one. Null stays null."""
+    """Lower case (A to Z), no copyright lines, no list marks, runs of punctuation, also typographic, and white space as
+    one blank, and equivalent spellings made one. Null stays null.
+
+    While spellings are replaced, two blanks part neighbours, so that each word has blanks of its own."""
     x = F.translate(text.cast("string"), UPPER, LOWER)
     x = F.regexp_replace(F.regexp_replace(x, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
     x = F.regexp_replace(x, BULLET, "\n")
-    x = F.concat(F.lit(" "), F.trim(F.regexp_replace(x, r"[\x00-/:-`{-\x7f]+", " ")), F.lit(" "))
+    x = F.concat(F.lit("  "), F.trim(F.regexp_replace(x, PUNCTUATION, "  ")), F.lit("  "))
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(x)
+        x = F.replace(x, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b} "))
+    return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

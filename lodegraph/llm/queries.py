@@ -23,8 +23,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix_by_form(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +83,8 @@ def _quoted(text: str) -> str:
 
 def _license_sql() -> str:
     lines = lambda x: f"regexp_replace(regexp_replace(regexp_replace(translate({x}, '{license.UPPER}', '{license.LOWER}'), {_quoted(license.COPYRIGHT_LINE)}, chr(10), 'g'), {_quoted(license.RIGHTS_LINE)}, chr(10), 'g'), {_quoted(license.BULLET)}, chr(10), 'g')"
-    spelled = lambda x: "trim(" + "replace(" * len(license.SPELLINGS) + x + "".join(f", ' {a} ', ' {b} ')" for a, b in license.SPELLINGS) + ")"
-    digest = lambda x: "sha256(" + spelled("(' ' || trim(regexp_replace(" + lines(x) + r""", '[\x00-/:-`{-\x7f]+', ' ', 'g')) || ' ')""") + ")"
+    spelled = lambda x: "trim(replace(" + "replace(" * len(license.SPELLINGS) + x + "".join(f", ' {a.replace(' ', '  ')} ', ' {b} ')" for a, b in license.SPELLINGS) + ", '  ', ' '))"
+    digest = lambda x: "sha256(" + spelled("('  ' || trim(regexp_replace(" + lines(x) + f", '{license.PUNCTUATION}', '  ', 'g')) || '  ')") + ")"
     rows = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license.KNOWN)
     return f"""WITH known AS (SELECT {digest('text')} AS digest, min(license) AS license FROM (VALUES {rows}) AS t(license, text) GROUP BY 1),
 mine AS (SELECT doc_id, {digest('text')} AS license_digest FROM documents)

@@ -49,12 +49,40 @@ def allocate(start: np.ndarray, end: np.ndarray, edges: np.ndarray, rule: str) -
     return out
 
 
+def layers_of(starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Sections in order of start, parted into layers in which none overlap: one layer if none do at all."""
+    layers: list[list[int]] = []
+    ends: list[int] = []
+    for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
+        at = next((k for k, end in enumerate(ends) if end <= a), len(layers))
+        if at == len(layers):
+            layers.append([])
+            ends.append(0)
+        layers[at].append(i)
+        ends[at] = b
+    return [np.array(x, np.int64) for x in layers or [[]]]
+
+
+def gapless(starts: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending edges from 0 to the length, the interval between edges that each section is)."""
+    cuts, index = [0], []
+    for a, b in zip(starts.tolist(), stops.tolist()):
+        if a > cuts[-1]:
+            cuts.append(a)
+        index.append(len(cuts) - 1)
+        cuts.append(b)
+    if cuts[-1] < length or len(cuts) == 1:
+        cuts.append(length)
+    return np.array(cuts), np.array(index, np.int64)
+
+
 def count_sections(docs: DataFrame, sections: str | None = None, rule: str = "first", path: str | None = None) -> DataFrame:
     """doc_id, section (from 0), name, start, end, n_tokens, n_crossing of every section of every document.
 
-    `sections` names a column of sections (name, start, end; code points, end exclusive) that don't overlap; they are
-    taken by start, null ones are left out, and ends are cut at the text's. Without it, sections are lines. Tokens in no
-    section are counted under the name null, section -1, if there are any, so counts always add up to the document's.
+    `sections` names a column of sections (name, start, end; code points, end exclusive), numbered by start; null ones
+    are left out, and ends are cut at the text's. Without it, sections are lines. Each of sections that overlap counts
+    the tokens of its own characters, whatever the others count. Tokens in no section are counted under the name null,
+    section -1, if there are any, so where sections don't overlap counts add up to the document's.
     n_crossing counts the section's tokens that reach beyond it. Null texts are empty and have one empty line. Rows
     aren't moved: the interval join runs inside each document, over sorted edges. Other columns play no part."""
     if rule not in RULES:
@@ -64,37 +92,30 @@ def count_sections(docs: DataFrame, sections: str | None = None, rule: str = "fi
 
     def rows_of(text: str, sizes: np.ndarray, own: list[tuple[str, int, int]] | None):
         if own is None:
-            ends = line_ends(text)
-            edges = np.append(0, ends)
-            index, names, starts, stops = np.arange(len(ends)), None, edges[:-1], ends
+            edges = np.append(0, line_ends(text))
+            names = list(map(str, range(len(edges) - 1)))
+            starts, stops, layers = edges[:-1], edges[1:], [np.arange(len(edges) - 1)]
         else:
-            cuts, inside = [0], []
-            for name, a, b in sorted(own, key=lambda x: (x[1], x[2], x[0] or "")):
-                a, b = max(a, cuts[-1]), min(b, len(text))
-                if b < a:
-                    a = b = min(a, len(text))
-                if a > cuts[-1]:
-                    cuts.append(a)
-                    inside.append(None)
-                inside.append((name, a, b))
-                cuts.append(b)
-            if cuts[-1] < len(text):
-                cuts.append(len(text))
-                inside.append(None)
-            edges = np.array(cuts)
-            index = np.array([i for i, x in enumerate(inside) if x is not None], np.int64)
-            names, starts, stops = [inside[i][0] for i in index], edges[index], edges[index + 1]
-        if len(sizes):
-            start, end = token_spans(text, sizes)
+            clip = lambda x: min(max(x, 0), len(text))
+            spans = sorted(((clip(a), max(clip(a), clip(b)), name) for name, a, b in own), key=lambda x: (x[0], x[1], x[2] or ""))
+            names, starts, stops = [x[2] for x in spans], np.array([x[0] for x in spans], np.int64), np.array([x[1] for x in spans], np.int64)
+            layers = layers_of(starts, stops)
+        start, end = token_spans(text, sizes) if len(sizes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n, over = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        placed, touched = np.zeros(len(start), bool), np.zeros(len(start), bool)
+        for layer in layers:
+            edges, index = gapless(starts[layer], stops[layer], len(text))
+            if not len(start):
+                continue
             at = allocate(start, end, edges, rule)
             crossing = (start < edges[at]) | (end > edges[np.minimum(at + 1, len(edges) - 1)])
-            n, over = np.bincount(at, minlength=len(edges)), np.bincount(at, crossing, len(edges)).astype(np.int64)
-        else:
-            n = over = np.zeros(len(edges), np.int64)
-        out = [np.arange(len(index)), names if names is not None else list(map(str, range(len(index)))), starts, stops, n[index], over[index]]
-        none = int(n.sum() - n[index].sum())
-        if none:
-            extra = (-1, None, 0, len(text), none, int(over.sum() - over[index].sum()))
+            n[layer] = np.bincount(at, minlength=len(edges))[index]
+            over[layer] = np.bincount(at, crossing, len(edges)).astype(np.int64)[index]
+            placed |= np.isin(at, index)
+            touched |= crossing
+        out = [np.arange(len(names)), names, starts, stops, n, over]
+        if not placed.all():
+            extra = (-1, None, 0, len(text), int((~placed).sum()), int((touched & ~placed).sum()))
             out = [[*x, y] for x, y in zip(out, extra)]
         return out
 

@@ -28,7 +28,7 @@ def test_stages_do_what_their_operators_say(spark):
     assert secret_scan.scan_secrets(three).where("size(spans) > 0").count() == 0
     assert three.where("n_chars != length(text)").count() == two.where("n_chars != length(text)").count()
     four = stages["mixture"](spark, three, SF)
-    assert {r.doc_id for r in four.collect()} == {r.doc_id for r in mixing.mix_by_form(three).where("sampled").collect()} and four.schema == docs.schema
+    assert {r.doc_id for r in four.collect()} == {r.doc_id for r in mixing.mix(three).where("sampled").collect()} and four.schema == docs.schema
     five = stages["encoding"](spark, four, SF)
     decoded = bpe.decode_documents(five).join(four.select("doc_id", "text"), "doc_id")
     assert five.count() == four.count() and decoded.where(F.col("data") != F.encode("text", "utf-8")).count() == 0
