@@ -25,7 +25,7 @@ from lodegraph.llm.common import code_points, list_array, spans_of, texts_of
 #: Entries of the merge cache; it is emptied when full, which changes speed but no result.
 CACHE_PIECES = 400_000
 #: Texts of so many characters are encoded in one scan.
-SCAN_CHARS = 500_000
+SCAN_CHARS = 250_000
 
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACES, LAST_SPACE, LAST_WHITE = range(8)
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

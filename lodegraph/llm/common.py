@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy step handles at once; a longer text is a step of its own.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

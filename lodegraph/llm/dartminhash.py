@@ -161,7 +161,7 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, distance: exact weighted Jaccard distance of each pair of documents, over whole texts.
 
     The pairs of a document that has many (the pivot of a large bucket) are dealt to several tasks, its text to each."""
-    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts")))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     firsts = parts.select(F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, "doc")
     firsts = firsts.select(F.col("doc").alias("a"), "part", F.col("text").alias("text_a"))
@@ -364,18 +364,19 @@ def _dense_links(dense: DataFrame, near: DataFrame, limit: float) -> DataFrame:
 
 
 def _classified(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
-    """doc_id, h, worded, class_id, n_exact, n_links of each row, and the document that stands for its class: kept_id,
-    kept_h. For rows without words the last four are null."""
+    """doc_id, h, kept, n_exact, n_links of each row; kept (none, doc_id, h) is the document that stands for its class.
+    For rows without words the last three are null."""
     sketched = cut(sketch(docs, bands, rows))
+    n = sketched.count()
     worded = sketched.where(F.size("bands") > 0)
     # nulls come last: a document without doc_id stands for others only where none has one
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     first = worded.groupBy("text_hi", "text_lo").agg(least.alias("own"), F.count("*").alias("n_exact"), F.first("bands").alias("bands"))
-    first = cut(first.select("text_hi", "text_lo", "own", "own.doc_id", "own.h", "n_exact", "bands", F.monotonically_increasing_id().alias("doc")))
+    first = cut(first.select("text_hi", "text_lo", "own", "own.doc_id", "own.h", "n_exact", "bands", F.monotonically_increasing_id().alias("doc")), n)
     near = links(first, docs, similarity)
     labels = components(near)
     degree = near.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    linked = cut(first.select("doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc"))
+    linked = cut(first.select("doc", "own").join(labels.withColumnRenamed("id", "doc"), "doc"), n)
     kept = linked.groupBy("label").agg(F.min("own").alias("kept"))
     classes = linked.join(kept, "label").select("doc", "kept")
     named = first.select("text_hi", "text_lo", "doc", "own", "n_exact").join(classes, "doc", "left").join(degree, "doc", "left")
@@ -385,7 +386,7 @@ def _classified(docs: DataFrame, similarity: float, bands: int, rows: int) -> Da
     # a text without words has the key of no words: it is nobody's copy
     out = mine.join(told, ["text_hi", "text_lo", "salt"], "left")
     of = lambda c: F.when(F.col("worded"), F.col(c))
-    return out.select("doc_id", "h", "worded", of("kept").alias("kept"), of("n_exact").alias("n_exact"), of("n_links").alias("n_links"))
+    return out.select("doc_id", "h", of("kept").alias("kept"), of("n_exact").alias("n_exact"), of("n_links").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -410,16 +411,18 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A document without doc_id stays only where no other of its class has one, and then one of them does. Rows that
     repeat a doc_id are judged by their own texts; rows that repeat both doc_id and text are one document, and all of
     them stay or none."""
-    told = _classified(docs, similarity, BANDS, ROWS).where("kept is not null")
+    told = _classified(docs, similarity, BANDS, ROWS).where("n_exact > 1 or n_links > 0").persist()
     same = F.col("doc_id").eqNullSafe(F.col("kept")["doc_id"]) & (F.col("h") == F.col("kept")["h"])
     nameless = told.where(same & F.col("doc_id").isNull() & (F.col("n_exact") > 1))
-    gone = cut(told.where(~same).union(nameless).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
-    again = cut(nameless.select(F.col("h").alias("gone_h")).distinct())
+    gone = cut(told.where(~same).union(nameless).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct(), told.count())
+    again = nameless.select(F.col("h").alias("gone_h")).distinct()
     p = "_keep"
     while any(c.lower().startswith(p) for c in docs.columns):
         p += "_"
     mine = docs.withColumn(p, F.xxhash64(text_or_empty()))
     out = mine.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(p) == F.col("gone_h")), "left_anti")
     if not again.isEmpty():  # copies without any doc_id: one row of each text
+        again = cut(again)
         out = out.unionByName(mine.where("doc_id is null").join(again, F.col(p) == F.col("gone_h"), "left_semi").dropDuplicates([p]))
+    told.unpersist()
     return out.select(*docs.columns)
