@@ -10,7 +10,7 @@ STALE, ADR_FLOOR, HUMAN_FLOOR = 0.9, 0.95, 0.90
 MIN_CONFIDENCE, MIN_SUPPORT = 0.75, 3
 RRF_K = 60
 
-#: (from, to) -> who may do it.
+#: Fixed values: (from, to) -> who may do it.
 TRANSITIONS = {
     ("candidate", "validated"): ("adr", "agent", "auditor", "human", "revalidation"),
     ("candidate", "rejected"): ("adr", "agent", "human"),

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.redact import redact_text
-from lodegraph.functions.text import relevance, title_tokens
+from lodegraph.functions.redact import redact_text, redacted
+from lodegraph.functions.text import adr_number, base_name, relevance, title_tokens
 
 CHUNK_CHARS, OVERLAP = 3200, 400
 RULE_WORDS = r"(?i)\b(must|never|always|do not|don't|should not|shouldn't|only)\b"
-STATUS = {"accepted": "validated", "approved": "validated", "proposed": "candidate", "draft": "candidate", "rejected": "rejected", "declined": "rejected", "deprecated": "deprecated", "superseded": "superseded"}
+#: Words of a decision's status, and the knowledge status that each means.
+STATUS = {"accepted": "validated", "approved": "validated", "adopted": "validated", "proposed": "candidate", "draft": "candidate", "deprecated": "deprecated", "superseded": "superseded", "rejected": "rejected"}
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -22,7 +23,7 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, section, heading, start, body: cut at headings outside code fences. A fence is open after an odd number of
+    """key, section, heading, head_line, start, body: cut at headings outside code fences. A fence is open after an odd number of
     fence lines; a section is numbered by the headings before it. What stands before the first heading is section 0."""
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     x = lines(docs, key, text).withColumn("fence", F.col("line").rlike(r"^\s*(```|~~~)"))
@@ -31,43 +32,41 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     x = x.withColumn("section", F.sum(F.col("is_head").cast("int")).over(w))
     g = x.groupBy(key, "section").agg(
         F.max(F.when(F.col("is_head"), F.trim(F.regexp_replace("line", r"^#+\s+", "")))).alias("heading"),
+        F.max(F.when(F.col("is_head"), F.col("line"))).alias("head_line"),
         F.min("n").alias("start"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("n", "line")))), lambda l: l["line"]), "\n").alias("body"),
     )
     return g.where((F.trim("body") != "") | F.col("heading").isNotNull())
 
 
-def cut_text(text: str, limit: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of at most `limit`, ended at the last line break past the half where there is one, each beginning `overlap`
-    before the end of the one before."""
-    out = []
-    while len(text) > limit:
-        at = text.rfind("\n", 0, limit)
-        at = at if at > limit // 2 else limit
-        out.append(text[:at])
-        text = text[max(at - overlap, 1) :]
-    return [*out, text]
+def pack_sections(parts: list[tuple[str | None, int, str]], limit: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Iterator[tuple[str, int, str]]:
+    """(heading, line, text): neighbouring sections together while they fit, under the first one's heading and line.
 
-
-def pack_sections(parts: list[tuple[str | None, int, str]], limit: int = CHUNK_CHARS) -> Iterator[tuple[str | None, int, str]]:
-    """(heading, line, text): neighbouring sections together while they fit."""
-    held: tuple[str | None, int, str] | None = None
+    What outgrows a chunk is cut at its last line break past the half, else at the limit; what follows begins `overlap`
+    before the cut, and takes in the next sections that fit."""
+    text, name, line = "", "", 1
     for heading, start, body in parts:
-        text = "\n".join(x for x in (heading, body.strip()) if x)
-        if held and len(held[2]) + 2 + len(text) <= limit:
-            held = (held[0] or heading, held[1], f"{held[2]}\n\n{text}")
+        if not (body := body.strip()):
             continue
-        if held:
-            yield from ((held[0], held[1], piece) for piece in cut_text(held[2], limit))
-        held = (heading, start, text)
-    if held:
-        yield from ((held[0], held[1], piece) for piece in cut_text(held[2], limit))
+        if text and len(text) + len(body) + 2 > limit:
+            yield name, line, text.strip()
+            text = ""
+        name, line = (name, line) if text else (heading or "", start)
+        text = f"{text}\n\n{body}" if text else body
+        while len(text) > limit:
+            at = max(text.rfind("\n", 0, limit), 0)
+            at = at if 2 * at > limit else limit
+            yield name, line, text[:at].strip()
+            text = text[max(0, at - overlap) :]
+    if text.strip():
+        yield name, line, text.strip()
 
 
 def chunks(docs: DataFrame, key: str, text: str = "text", limit: int = CHUNK_CHARS, redact: bool = True) -> DataFrame:
     """key, index, heading, line_start, text. Packing carries state from section to section, so it is a function over a
     document's own sections; documents don't meet and nothing is shuffled but lines of one document."""
-    per_doc = sections(docs, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "heading", "start", "body"))).alias("parts"))
+    whole = F.concat_ws("\n", F.col("head_line"), F.when(F.col("body") != "", F.col("body")))
+    per_doc = sections(docs, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "heading", "start", whole.alias("body")))).alias("parts"))
     kind = dict(docs.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,16 +97,42 @@ def rules(docs: DataFrame, key: str, text: str = "text", most: int = 20) -> Data
     return x.where(ok).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(key, "n", "rule")
 
 
-def decision_records(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, title, status, context, decision, consequences (at most 1000 characters) and supersedes of decision records.
-    The first known word of the status section counts, accepted by default; `superseded by` wins."""
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def decision_records(docs: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """key, adr_id, title, status, context, decision, consequences (redacted, at most 1000 characters), supersedes and
+    superseded_by of decision records. Documents without a number, in the file name (if `path` names a column) or in the
+    title, are none.
+
+    The status is that of the first known word of the status section, else of a `status:` line; a record that states
+    none at all is validated, one that states an unknown word a candidate. `superseded by` anywhere wins. Null texts are
+    empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    first = F.regexp_extract(whole, r"(?m)^# (.*)$", 1)
+    file = base_name(F.col(path)) if path else F.lit(None).cast("string")
+    numbers = lambda rx: F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(rx), 1), lambda n: F.concat(F.lit("ADR-"), F.lpad(n.cast("int").cast("string"), 3, "0"))))
+    line = F.nullif(F.regexp_extract(whole, r"(?im)^\s*\**status\**\s*[:=]\s*(.+)$", 1), F.lit(""))
+    about = docs.select(
+        F.col(key),
+        F.coalesce(adr_number(file), adr_number(F.concat(F.lit("# "), first))).alias("adr_id"),
+        F.trim(F.regexp_replace(first, r"(?i)^\s*(adr[-_ ]?[0-9]+\s*[:.-]\s*)?", "")).alias("_title"),
+        line.alias("_line"),
+        numbers(r"(?i)\bsupersedes\s+\[?adr[-_ ]?([0-9]{1,4})").alias("supersedes"),
+        numbers(r"(?i)superseded\s+by\s+\[?adr[-_ ]?([0-9]{1,4})").alias("superseded_by"),
+    ).where("adr_id is not null")
     s = sections(docs, key, text).withColumn("h", F.lower(F.coalesce("heading", F.lit(""))))
-    part = lambda rx: F.max(F.when(F.col("h").rlike(rx), F.substring(F.trim("body"), 1, 1000)))
-    out = s.groupBy(key).agg(F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("section"))).alias("title"), part("^status").alias("state"), part("^context").alias("context"), part("^decision").alias("decision"), part("^consequences").alias("consequences"), F.array_join(F.collect_list("body"), "\n").alias("all"))
-    word = F.lower(F.regexp_extract(F.coalesce("state", F.lit("")), rf"(?i)\b({'|'.join(STATUS)})\b", 1))
+    part = lambda name: F.max_by("body", F.when(F.col("h") == name, F.col("section")))
+    parts = s.groupBy(key).agg(*[part(n).alias(f"_{n}") for n in ("status", "context", "decision", "consequences")])
+    said = F.coalesce(F.nullif(_stripped(F.col("_status")), F.lit("")), F.col("_line"))
+    words = F.split(F.lower(said), "[^a-z]+")
     table = F.create_map(*[F.lit(v) for kv in STATUS.items() for v in kv])
-    status = F.when(F.coalesce("state", F.lit("")).rlike(r"(?i)superseded by"), "superseded").otherwise(F.coalesce(F.try_element_at(table, word), F.lit("validated")))
-    return out.select(key, "title", status.alias("status"), "context", "decision", "consequences", F.array_distinct(F.regexp_extract_all("all", F.lit(r"(?i)supersedes\s+\[?(ADR-?[0-9]+)"), 1)).alias("supersedes"))
+    known = F.get(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda v: v.isNotNull()), F.lit(0))
+    status = F.when(F.size("superseded_by") > 0, "superseded").when(said.isNull(), "validated").otherwise(F.coalesce(known, F.lit("candidate")))
+    short = lambda n: F.substring(redacted(_stripped(F.coalesce(f"_{n}", F.lit("")))), 1, 1000).alias(n)
+    title = redacted(F.when(F.col("_title") == "", F.col("adr_id")).otherwise(F.col("_title")))
+    return about.join(parts, key, "left").select(key, "adr_id", title.alias("title"), status.alias("status"), short("context"), short("decision"), short("consequences"), "supersedes", "superseded_by")
 
 
 def anchored(text: str, words: int) -> Column:

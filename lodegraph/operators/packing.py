@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Section, share of the limit. What a section leaves goes on to the next; constraints are never cut.
+#: Section, share of the limit. What a section leaves goes on to the next; constraints are never cut.
 SECTIONS = (("constraints", 0.15), ("reusable", 0.25), ("architecture", 0.15), ("patterns", 0.10), ("decisions", 0.10), ("related_features", 0.10), ("memory", 0.10), ("tests", 0.05), ("dependencies", 0.0), ("docs", 0.0), ("unverified", 0.0))
 
 

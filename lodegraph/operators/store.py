@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELS = ("Project", "Module", "File", "Symbol", "Doc", "DocChunk", "Knowledge", "Evidence", "Feature", "Commit", "AuditRun", "MemoryEvent", "SchemaVersion")
-RELS = ("CONTAINS", "DEFINES", "HAS_MEMBER", "IMPORTS", "DEPENDS_ON", "USES", "CALLS", "ACCESSES", "HANDLES", "EXTENDS", "IMPLEMENTS", "COVERS", "HAS_CHUNK", "NEXT_CHUNK", "DESCRIBES", "TOUCHES", "CO_CHANGES", "FOLLOWS", "CONSTRAINED_BY", "SUPPORTED_BY", "CONTRADICTED_BY", "ESTABLISHES", "SUPERSEDES", "HAS_EVIDENCE", "REFERENCES", "INTRODUCES", "MODIFIES", "REUSES", "TESTED_BY", "ON", "HAS_FEATURE", "RAN")
+#: The schema's closed lists. Rows of any other label or relation are refused.
+LABELS = ("Project", "Module", "File", "TestFile", "Symbol", "Knowledge", "Pattern", "Decision", "Constraint", "Feature", "Evidence", "Commit", "Doc", "DocChunk", "AuditRun", "MemoryEvent", "SchemaVersion")
+ROLES = ("Service", "Repository", "Controller", "Route", "Component", "Hook", "Worker", "Queue", "Middleware", "Model", "Validator", "Integration")
+RELS = ("CONTAINS", "DEFINES", "HAS_MEMBER", "IMPORTS", "DEPENDS_ON", "USES", "CALLS", "EXTENDS", "IMPLEMENTS", "ACCESSES", "HANDLES", "COVERS", "FOLLOWS", "ESTABLISHES", "CONSTRAINED_BY", "SUPERSEDES", "SUPPORTED_BY", "CONTRADICTED_BY", "REFERENCES", "TOUCHES", "CO_CHANGES", "MODIFIES", "INTRODUCES", "REUSES", "TESTED_BY", "IMPLEMENTED_IN", "HAS_EVIDENCE", "FOLLOWED", "CREATED", "FROM_DOC", "NEXT_CHUNK", "DESCRIBES")
+# end of fixed values
 
 
 def check_known(names: list[str], known: tuple[str, ...]) -> None:
@@ -69,7 +72,7 @@ def change_set(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFra
 def induced(nodes: DataFrame, edges: DataFrame, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of these labels, and the edges among them, without embeddings."""
     if labels is not None:
-        check_known(labels, LABELS)
+        check_known(labels, LABELS + ROLES)
         nodes = nodes.where(F.col("label").isin(*labels))
     ids = nodes.select("uid")
     kept = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
@@ -83,11 +86,15 @@ def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def import_json(spark: SparkSession, path: str, project: str) -> tuple[DataFrame, DataFrame]:
-    """An export of this project; rows of another project, or of unknown labels or relations, raise when read."""
+    """An export of this project. Rows of another project, of unknown labels or relations are an error before anything is
+    returned: one pass over the labels, projects and relations that occur."""
     nodes, edges = spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/edges")
-    wrong = (~F.col("project_id").eqNullSafe(F.lit(project))) | ~F.col("label").isin(*LABELS)
-    ok = nodes.withColumn("uid", F.when(wrong, F.raise_error(F.concat(F.lit("not importable: "), F.col("uid"))).cast("string")).otherwise(F.col("uid")))
-    return ok, edges.withColumn("rel", F.when(~F.col("rel").isin(*RELS), F.raise_error(F.concat(F.lit("unknown relation: "), F.col("rel"))).cast("string")).otherwise(F.col("rel")))
+    wrong = ~F.col("project_id").eqNullSafe(F.lit(project)) | ~F.coalesce(F.col("label").isin(*LABELS, *ROLES), F.lit(False))
+    bad = nodes.where(wrong).limit(1).collect()
+    odd = edges.where(~F.coalesce(F.col("rel").isin(*RELS), F.lit(False))).limit(1).collect()
+    if bad or odd:
+        raise ValueError(f"not importable: {(bad or odd)[0].asDict()}")
+    return nodes, edges
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:

@@ -35,8 +35,8 @@ def text_slug(t: Tables) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages), d AS (SELECT *, string_split(path, '/') AS parts FROM p)
-SELECT page_id, path, CASE WHEN len(parts) <= 1 THEN '' WHEN parts[1] IN ('src', 'apps', 'packages', 'libs', 'services', 'lib') AND len(parts) > 2 THEN parts[1] || '/' || parts[2] ELSE parts[1] END AS module,
- CASE WHEN regexp_matches(path, '^(\.|/|node:)') OR path = '' THEN NULL WHEN path LIKE '@%' AND len(parts) > 1 THEN parts[1] || '/' || parts[2] ELSE parts[1] END AS package FROM d""")
+SELECT page_id, path, CASE WHEN len(parts) <= 1 THEN '.' WHEN parts[1] IN ('src', 'apps', 'packages', 'lib', 'app', 'services', 'libs', 'modules') AND len(parts) > 2 THEN parts[1] || '/' || parts[2] ELSE parts[1] END AS module,
+ CASE WHEN regexp_matches(path, '^(\.|/|node:)') OR path = '' THEN NULL WHEN path LIKE '@%' AND len(parts) > 1 THEN parts[1] || '/' || parts[2] ELSE string_split(parts[1], '.')[1] END AS package FROM d""")
 def page_paths(t: Tables) -> DataFrame:
     p = t.pages.select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("path"))
     return p.select("page_id", "path", text.module_path_of(F.col("path")).alias("module"), text.package_name(F.col("path")).alias("package"))
