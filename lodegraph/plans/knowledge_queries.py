@@ -174,10 +174,11 @@ def rule_placement(t: Tables) -> DataFrame:
     return mining.placement(nodes, "Controller", ["src/economy/*_ring.ts", "src/economy/*_bolt.ts"])
 
 
-@query("SELECT p_type AS category, min(p_brand) AS library, count(*) AS n FROM part WHERE p_size = 50 GROUP BY p_type HAVING count(DISTINCT p_brand) = 1")
+@query("SELECT p_type AS category, min(CASE WHEN p_type IN ('SMALL', 'LARGE') THEN 'one' ELSE p_brand END) AS library, count(*) AS n FROM part GROUP BY p_type HAVING count(DISTINCT CASE WHEN p_type IN ('SMALL', 'LARGE') THEN 'one' ELSE p_brand END) = 1")
 def rule_single_library(t: Tables) -> DataFrame:
-    uses = t.part.where("p_size = 50").select(F.col("p_partkey").alias("uid"), F.concat_ws("|", "p_type", "p_brand").alias("library"))
-    categories = t.part.where("p_size = 50").select(F.concat_ws("|", "p_type", "p_brand").alias("library"), F.col("p_type").alias("category")).distinct()
+    library = F.concat_ws("|", "p_type", F.when(F.col("p_type").isin("SMALL", "LARGE"), "one").otherwise(F.col("p_brand")))
+    uses = t.part.select(F.col("p_partkey").alias("uid"), library.alias("library"))
+    categories = t.part.select(library.alias("library"), F.col("p_type").alias("category")).distinct()
     return mining.single_choice(uses, categories).withColumn("library", F.substring_index("library", "|", -1))
 
 
@@ -196,10 +197,10 @@ def pattern_naming(t: Tables) -> DataFrame:
     return mining.support(m.join(top, "p_brand"), ["p_brand", "dir"], ok, ~ok)
 
 
-@query("""WITH s AS (SELECT user_id AS uid, CASE WHEN regexp_matches(event_type, '^(sign|create)') THEN 'create' WHEN regexp_matches(event_type, '^(vi|read)') THEN 'read' WHEN regexp_matches(event_type, '^(cl|use)') THEN 'use' WHEN regexp_matches(event_type, '^(pur|close)') THEN 'close' END AS stage FROM events WHERE value > 30)
+@query("""WITH s AS (SELECT user_id AS uid, CASE WHEN regexp_matches(event_type, '^(sign|create)') THEN 'create' WHEN regexp_matches(event_type, '^(vi|read)') THEN 'read' WHEN regexp_matches(event_type, '^(cl|use)') THEN 'use' WHEN regexp_matches(event_type, '^(pur|close)') THEN 'close' END AS stage FROM events)
 SELECT uid, count(DISTINCT stage) AS n_stages, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages FROM s WHERE stage IS NOT NULL GROUP BY uid HAVING count(DISTINCT stage) >= 3""")
 def pattern_lifecycle(t: Tables) -> DataFrame:
-    methods = t.events.where("value > 30").select(F.col("user_id").alias("uid"), F.col("event_type").alias("method"))
+    methods = t.events.select(F.col("user_id").alias("uid"), F.col("event_type").alias("method"))
     return mining.lifecycle_owners(methods, {"create": ("sign", "create"), "read": ("vi", "read"), "use": ("cl", "use"), "close": ("pur", "close")})
 
 
