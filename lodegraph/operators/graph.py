@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodegraph.operators.lineage import cut
 
 
+#: So many seeds at most are broadcast to the edges.
+SENT_SEEDS = 10_000
+
+
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:
     """Both directions of each edge, once."""
     return edges.select("src", "dst", *keep).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *keep)).distinct()
@@ -67,11 +71,15 @@ def without_reach(nodes: DataFrame, edges: DataFrame, leaves: DataFrame, depth:
 def spread(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = 0.5, share: float = 0.25, frontier: int = 24) -> DataFrame:
     """uid, score: seeds' scores plus what flows to neighbours over weighted edges (src, dst, weight), divided by the root
     of the source's degree. Each hop adds a share of what it brings, half as much as the hop before, and only its best
-    nodes go on."""
-    seeds, edges = cut(seeds.select("uid", "score")), cut(edges)
+    nodes go on.
+
+    Edges stay where they are: a hop's frontier is at most `frontier` nodes, so it is sent to them. Seeds are sent too
+    while there are at most SENT_SEEDS of them; more are joined by a shuffle."""
+    seeds = cut(seeds.select("uid", "score"))
     scores = wave = seeds
+    few = seeds.limit(SENT_SEEDS + 1).count() <= SENT_SEEDS
     for hop in range(hops):
-        near = wave.join(edges.withColumnRenamed("src", "uid"), "uid")
+        near = (F.broadcast(wave) if hop or few else wave).join(edges.withColumnRenamed("src", "uid"), "uid")
         degree = near.groupBy("uid").agg(F.count("*").alias("degree"))
         flow = near.join(degree, "uid").select(F.col("dst").alias("uid"), (F.col("score") * decay * F.col("weight") / F.sqrt(F.col("degree").cast("double"))).alias("gain"))
         gained = cut(flow.groupBy("uid").agg(F.sum("gain").alias("score")))
