@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.plans.registry import QUERIES, SQL
 
-for _name in ("graph_queries", "text_queries", "retrieval_queries", "knowledge_queries", "store_queries", "event_queries", "code_queries"):
+for _name in ("graph_queries", "text_queries", "retrieval_queries", "knowledge_queries", "store_queries", "event_queries", "code_queries", "lifecycle_queries"):
     import_module(f"lodegraph.plans.{_name}")
 
 

@@ -1 +1 @@
-"""See README."""
+"""Readers: working trees, commit logs, manifests and Python modules as tables."""

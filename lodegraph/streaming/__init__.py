@@ -1 +1 @@
-"""See README."""
+"""Streaming forms of what arrives continuously: history, status changes, events."""
