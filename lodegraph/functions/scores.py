@@ -21,7 +21,8 @@ TRANSITIONS = {
     ("deprecated", "validated"): ("adr", "auditor", "human", "revalidation"),
     ("deprecated", "superseded"): ("adr", "human"),
 }
-FEATURE_STEPS = {("planning", "in_progress"), ("planning", "abandoned"), ("in_progress", "verifying"), ("in_progress", "abandoned"), ("verifying", "in_progress"), ("verifying", "done"), ("verifying", "abandoned")}
+#: Steps of a feature's status.
+FEATURE_STEPS = {("planning", "in_progress"), ("planning", "verifying"), ("planning", "done"), ("planning", "abandoned"), ("in_progress", "verifying"), ("in_progress", "done"), ("in_progress", "abandoned"), ("verifying", "in_progress"), ("verifying", "done"), ("verifying", "abandoned")}
 
 
 def wilson_lower_bound(successes: Column, total: Column, z: float = 1.0) -> Column:

@@ -18,8 +18,31 @@ VIA = {"constructor": 0, "field": 1, "new": 2, "extends": 3, "reference": 4, "ca
 
 
 def module_candidates(imports: DataFrame) -> DataFrame:
-    """path, local, imported, ord, target: the files that an import may mean, best first. Relative imports start from the
-    file's folder, one up for each dot but the first; a from-import may name a module itself."""
+    """path, local, imported, ord, target: the files that an import may mean, best first.
+
+    In Python, relative imports start from the file's folder, one up for each dot but the first, and a from-import may name
+    a module itself. In TypeScript and JavaScript, paths that begin with a dot are tried with each suffix, also in place
+    of a written .js, and as folders with an index; other specifiers are packages."""
+    script = F.col("path").rlike(SCRIPT)
+    return _python_candidates(imports.where(~script)).unionByName(_script_candidates(imports.where(script)))
+
+
+#: Suffixes of scripts in the order in which an import tries them.
+SCRIPT, SUFFIXES = r"\.[cm]?[jt]sx?$", (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
+
+
+def _script_candidates(imports: DataFrame) -> DataFrame:
+    ups = F.size(F.regexp_extract_all("module", F.lit(r"(\.\./)"), 1))
+    rest = F.regexp_replace(F.regexp_replace("module", r"^(\.\.?/)+|^\.\.?$", ""), r"\.[cm]?jsx?$", "")
+    folders = F.split("path", "/")
+    base = F.array_join(F.concat(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - 1 - ups, F.lit(0))), F.filter(F.array(rest), lambda x: x != "")), "/")
+    names = [*[F.concat(base, F.lit(s)) for s in SUFFIXES], *[F.concat_ws("/", F.nullif(base, F.lit("")), F.lit(f"index{s}")) for s in SUFFIXES[:4]]]
+    tries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(False).alias("is_module"), t.alias("target")) for i, t in enumerate(names)])
+    x = imports.where(F.col("module").startswith(".")).select("path", "local", "imported", F.explode(tries).alias("t"))
+    return x.select("path", "local", "imported", "t.ord", "t.is_module", "t.target")
+
+
+def _python_candidates(imports: DataFrame) -> DataFrame:
     dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
     rest = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
     folders = F.split("path", "/")

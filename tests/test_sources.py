@@ -137,7 +137,7 @@ def test_streams(spark, tmp_path):
     steps = spark.createDataFrame([("f", "2024-01-01 00:00:01", "in_progress"), ("f", "2024-01-01 00:00:02", "done"), ("f", "2024-01-01 00:00:03", "verifying"), ("g", "2024-01-01 00:00:01", "abandoned")], "feature string, at string, status string")
     steps.coalesce(1).write.parquet(str(tmp_path / "steps"))
     states = run_all(spark, streams.feature_states(spark.readStream.schema(steps.schema).parquet(str(tmp_path / "steps"))), "update", tmp_path, "feature_states")
-    assert {r.feature: (r.status, r.moves, r.refused) for r in states} == {"f": ("verifying", 2, 1), "g": ("abandoned", 1, 0)}
+    assert {r.feature: (r.status, r.moves, r.refused) for r in states} == {"f": ("done", 2, 1), "g": ("abandoned", 1, 0)}
     streams.event_log(stream(), str(tmp_path / "t"), str(tmp_path / "l"), str(tmp_path / "log_state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.json(str(tmp_path / "l")).count() == 5
 
