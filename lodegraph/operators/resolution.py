@@ -121,6 +121,10 @@ def edges_of(facts: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFram
     imports = modules.join(ids, "path").withColumnRenamed("file", "src").join(ids.select(F.col("path").alias("to"), F.col("file").alias("dst")), "to")
     tests = names.where("uid is not null").join(files.where("is_test").select("path", F.col("uid").alias("src")), "path").join(symbols.select("uid", F.col("path").alias("_p")), "uid").where("_p <> path").withColumnRenamed("uid", "dst")
     routes = symbols.where("kind = 'route'").select(F.col("uid").alias("src"), "path", F.col("target").alias("qualname")).join(by_name.withColumnRenamed("uid", "dst"), ["path", "qualname"])
+    # a route without a handler of its own is handled by the first method that it calls
+    named = routes.select("src").distinct()
+    called = direct.join(symbols.where("kind = 'route'").select(F.col("uid").alias("src")), "src", "left_semi").join(named, "src", "left_anti").groupBy("src").agg(F.min("dst").alias("dst"))
+    routes = routes.select("src", "dst").union(called)
     tables = own(facts.where("fact = 'table' and qualname is not null")).join(to, ["path", "target"])
     every = [
         part(symbols.where("kind <> 'method'").join(ids, "path").select(F.col("file").alias("src"), F.col("uid").alias("dst")), "DEFINES", ""),

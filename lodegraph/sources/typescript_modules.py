@@ -87,7 +87,7 @@ class _Source:
                 i = self._function(i, exported) if v == "function" else self._plain(i, v, exported)
             elif v in ("const", "let", "var") and self.kind[i + 1 : i + 2] == ["name"]:
                 i = self._const(i, exported)
-            elif self.kind[i] == "name" and self.at(i + 1) == "." and self.at(i + 2) in ROUTE_VERBS and self.at(i + 3) == "(" and self.string(i + 4) is not None:
+            elif self._is_route(i):
                 i = self._route(i)
             else:
                 i = self.close.get(i, i) + 1
@@ -218,20 +218,29 @@ class _Source:
         self.rows.insert(head, self.rows.pop())
         return end + 1
 
-    def _route(self, i: int) -> int:
+    def _is_route(self, i: int) -> bool:
+        return self.kind[i] == "name" and self.at(i + 1) == "." and self.at(i + 2) in ROUTE_VERBS and self.at(i + 3) == "(" and (self.string(i + 4) or "").startswith("/")
+
+    def _route(self, i: int, inside: str | None = None) -> int:
+        """A route; the typed names of the function that it is declared in are its own."""
         end = self.close.get(i + 3, i + 3)
         name = f"{self.at(i + 2).upper()} {self.string(i + 4)}"
         parts = [j for j in range(i + 5, end) if self.kind[j] == "name"]
         receivers = [(self.at(j), self.at(j + 2)) for j in parts if self.at(j + 1) == "." and self.kind[j + 2 : j + 3] == ["name"] and self.at(j - 1) != "."]
         self.add("symbol", i, qualname=f"route:{name}", name=name, kind="route", exported=True, http_method=self.at(i + 2).upper(), http_path=self.string(i + 4), target=".".join(receivers[-1]) if receivers else next((self.at(j) for j in reversed(parts) if self.at(j - 1) in (",", "(")), None))
+        for r in [r for r in self.rows if inside and r["fact"] in ("param", "local") and r["qualname"] == inside]:
+            self.add("local", i, qualname=f"route:{name}", name=r["name"], target=r["target"])
         self._body(i + 5, end, f"route:{name}")
         return end + 1
 
     def _body(self, a: int, b: int, qualname: str) -> None:
-        for j in range(a, min(b, len(self.value))):
+        j = a - 1
+        while (j := j + 1) < min(b, len(self.value)):
             if self.kind[j] != "name":
                 continue
-            if self.at(j) == "new" and self.kind[j + 1 : j + 2] == ["name"]:
+            if self._is_route(j):
+                j = self._route(j, qualname) - 1
+            elif self.at(j) == "new" and self.kind[j + 1 : j + 2] == ["name"]:
                 self.add("ref", j, qualname=qualname, target=self.at(j + 1), via="new")
                 if self.at(j - 1) == "=" and self.kind[j - 2] == "name":
                     self.add("local", j, qualname=qualname, name=self.at(j - 2), target=self.at(j + 1))
