@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lodegraph.llm.common import code_points, list_array, spans_of, texts_of
+from lodegraph.llm.common import code_points, list_array, map_texts, spans_of, texts_of
 
 #: Entries of the merge cache; it is emptied when full, which changes speed but no result.
 CACHE_PIECES = 400_000
@@ -300,7 +300,7 @@ def encode_columns(docs: DataFrame, columns: list[str], path: str | None = None)
                 ids, counts, _ = shared.get().encode(texts)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), list_array(ids, counts)], names=[*columns, "ids"])
 
-    return own.mapInArrow(run, schema)
+    return map_texts(own, run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -318,7 +318,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             data = [shared.get().decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid else b"" for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return map_texts(encoded.select("doc_id", "ids"), run, "doc_id long, data binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -340,4 +340,4 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             of_data = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_data)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text that one numpy step handles at once; a longer text is a step of its own.
 CHUNK_CHARS = 250_000
@@ -42,6 +43,20 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
+#: Bytes of rows that go to a Python worker at a time. Rows vary too much in length to be bounded by their number.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of about BATCH_BYTES; a longer row is a batch of its own. The bound is a setting of the
+    session, made here and left so; a session that names one of its own keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

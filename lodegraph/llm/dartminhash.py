@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import cut, list_array, mix64, spans_of, text_or_empty, texts_of, word_hashes
+from lodegraph.llm.common import cut, list_array, map_texts, mix64, spans_of, text_or_empty, texts_of, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -147,7 +147,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), list_array(keys.reshape(-1).view(np.int64), lengths)], names=["doc_id", "h", "text_hi", "text_lo", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, h long, text_hi long, text_lo long, bands array<long>")
+    return map_texts(keyed(docs), run, "doc_id long, h long, text_hi long, text_lo long, bands array<long>")
 
 
 def whole_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.popitem(last=False)
                 yield pa.RecordBatch.from_arrays([batch.column("a").slice(i, size), batch.column("b").slice(i, size), pa.array(out, pa.float64())], names=["a", "b", "distance"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double")
+    return map_texts(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, distance double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def _with_cells(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("pivot", "doc", "distance")), pa.array(data, pa.binary())], names=["pivot", "doc", "distance", "cells"])
 
-    return rows.select("pivot", "doc", "distance", "text").mapInArrow(run, "pivot long, doc long, distance double, cells binary")
+    return map_texts(rows.select("pivot", "doc", "distance", "text"), run, "pivot long, doc long, distance double, cells binary")
 
 
 class Bitmaps:

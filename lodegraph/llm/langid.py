@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import code_points, mix64, spans_of, texts_of
+from lodegraph.llm.common import code_points, map_texts, mix64, spans_of, texts_of
 
 ORDER = 4
 #: A language with fewer documents than this takes the rejection limit of all languages together.
@@ -106,7 +106,7 @@ def count_grams(training: DataFrame) -> DataFrame:
                 held, size = {}, 0
         yield from rows()
 
-    return training.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return map_texts(training.select("lang", "text"), run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -276,7 +276,7 @@ def fit(docs: DataFrame) -> LanguageModel:
                 ok = (n > 0) & (own >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(ce[ok, own[ok]]), pa.array(n[ok])], names=["lang", "ce", "n"])
 
-    seen = training.mapInArrow(run, "lang long, ce double, n long").persist()
+    seen = map_texts(training, run, "lang long, ce double, n long").persist()
     k = len(models.langs)
     sums = {r["lang"]: r for r in seen.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("ce") * F.col("n")).alias("nats"), F.sum("n").alias("n")).collect()}
     common = sum(r["nats"] for r in sums.values()) / max(sum(r["n"] for r in sums.values()), 1)
@@ -318,7 +318,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for rows, (names, score, ce, rejected) in _judged(batches, shared.value):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(names), pa.array(score), pa.array(ce), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -329,4 +329,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for rows, (_, _, _, rejected) in _judged(batches, shared.value):
             yield rows.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.bpe import SharedVocabulary, _parts, default_path
-from lodegraph.llm.common import text_or_empty, texts_of
+from lodegraph.llm.common import map_texts, text_or_empty, texts_of
 
 RULES = ("first", "last", "largest")
 SECTIONS = "array<struct<name:string,start:int,end:int>>"
@@ -138,4 +138,4 @@ def count_sections(docs: DataFrame, sections: str | None = None, rule: str = "fi
                 types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, types)], names=names)
 
-    return docs.select(*columns).mapInArrow(run, "doc_id long, section int, name string, start int, end int, n_tokens long, n_crossing long")
+    return map_texts(docs.select(*columns), run, "doc_id long, section int, name string, start int, end int, n_tokens long, n_crossing long")

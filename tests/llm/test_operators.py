@@ -7,13 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from llm.helpers import HARD, LONG, clashing, hard_docs, no_docs
-from lodegraph.llm import ann, bpe, chat, dartminhash, langid, license, mixing, queries, secret_scan, token_counts, topk
+from lodegraph.llm import ann, bpe, chat, common, dartminhash, langid, license, mixing, queries, secret_scan, token_counts, topk
 
 
 @pytest.fixture(scope="module")
@@ -645,3 +646,26 @@ def test_token_counts_hard_cases(spark, encoding):
     own = hard_docs(spark).withColumn("parts", F.expr("array(named_struct('name', 'head', 'start', 0, 'end', 3), null, named_struct('name', 'tail', 'start', 5, 'end', 1000000000))"))
     again = token_counts.count_sections(own, "parts").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert {r.doc_id: r.n for r in again} == dict(expected)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long rows come in small batches, every row once; a bound of the session's own is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    def sizes():
+        texts = spark.range(0, 64, 1, 1).select(F.expr("repeat('x', 1000000)").alias("text"))
+        return [tuple(r) for r in common.map_texts(texts, run, "n long, size long").collect()]
+
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        got = sizes()
+        assert sum(n for n, _ in got) == 64 and max(size for _, size in got) < common.BATCH_BYTES + 2_000_000
+        spark.conf.set(name, "3000000")
+        assert max(n for n, _ in sizes()) <= 4 and spark.conf.get(name) == "3000000"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
