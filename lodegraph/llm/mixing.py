@@ -25,8 +25,10 @@ PATIENCE = 25
 #: A table of so many values or fewer is broadcast; a longer one is joined by a shuffle with salted keys.
 BROADCAST_VALUES = 50_000
 SALTS = 16
-#: Topics are learned on so many documents at most, from words hashed to so many buckets.
-TOPIC_SAMPLE, TOPIC_BUCKETS, TOPICS, TOPIC_ROUNDS = 4096, 512, 12, 12
+#: Topics are learned from words hashed to so many buckets.
+TOPIC_BUCKETS, TOPICS, TOPIC_ROUNDS = 512, 12, 12
+#: Topics are learned on vectors in whole steps of 1 / UNIT: their products and sums are exact, so no order changes them.
+UNIT = float(1 << 20)
 
 
 @dataclass(frozen=True)
@@ -91,42 +93,106 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     return spans_of(len(t) + 500 for t in texts)
 
 
-def learn_topics(counts: np.ndarray, topics: int = TOPICS) -> TopicModel:
-    """From the hashed word counts of a sample; fewer topics where fewer documents differ."""
-    counts = counts[(counts != 0).any(1)]
-    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.01
-    x = np.unique(counts, axis=0) * weight if len(counts) else counts
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[:1]
-    while 0 < len(centres) < min(topics, len(x)):
-        centres = np.concatenate([centres, x[[int((x @ centres.T).max(1).argmin())]]])
-    for _ in range(TOPIC_ROUNDS if len(x) else 0):
-        label = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, label, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
-    size = np.bincount((x @ centres.T).argmax(1), minlength=len(centres)) if len(x) else np.zeros(0)
-    return TopicModel(weight, centres[np.argsort(-size, kind="stable")])
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS) -> TopicModel:
-    """Topics of `docs` (doc_id, text), learned on at most TOPIC_SAMPLE documents, those of smallest hashed ids."""
-    own = docs.select(F.xxhash64("doc_id", F.lit(29)).alias("h"), F.col("text").cast("string").alias("text"))
-    rate = 2 * TOPIC_SAMPLE / max(own.count(), 1)
-    if rate < 1:  # only what may be in the sample is looked at closely
-        own = own.where(F.col("h") < F.lit(int(-(1 << 63) + rate * (1 << 64))))
+def counted(docs: DataFrame) -> DataFrame:
+    """The word counts by bucket of all documents with words, in blocks: of each the filled buckets, their counts, and how
+    many buckets each document fills, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in _slices(texts):
                 counts, _ = hashed(texts[a:b])
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(counts.reshape(-1)), TOPIC_BUCKETS).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), flat], names=["h", "v"])
+                row, slot = np.nonzero(counts)
+                if not len(row):
+                    continue
+                n, size = counts[row, slot], np.bincount(row)
+                data = [slot.astype(np.uint16), n.astype(np.uint8 if n.max() < 256 else np.float32), size[size > 0].astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=["slot", "n", "size"])
+
+    return map_texts(docs.select(F.col("text").cast("string").alias("text")), run, "slot binary, n binary, size binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of `counted` as matrices (documents x buckets)."""
+    for batch in batches:
+        for slot, n, size in zip(*(batch.column(c).to_pylist() for c in ("slot", "n", "size"))):
+            each = np.frombuffer(size, np.uint16)
+            out = np.zeros((len(each), TOPIC_BUCKETS))
+            out[np.repeat(np.arange(len(each)), each), np.frombuffer(slot, np.uint16)] = np.frombuffer(n, np.uint8 if 2 * len(n) == len(slot) else np.float32)
+            yield out
+
+
+def units(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows of word counts, in whole steps of 1 / UNIT."""
+    x = counts * weight.astype(np.float64)
+    return np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * UNIT)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> TopicModel:
+    """Topics of `docs` (text), learned on every document with words, copies too; fewer where fewer documents differ.
+
+    Weights come from the buckets' document frequencies. The first centre is the document whose vector is the smallest in
+    order, each next one that whose nearest centre is the farthest (ties to the smallest vector); rounds of k-means over
+    all documents follow, until nothing moves or after TOPIC_ROUNDS. Word counts are written once; each round sums them in
+    parallel, and only centres go to the driver."""
+    blocks = cut(counted(docs))
+
+    def summed(size: int, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over all blocks of what `work` makes of one: `size` whole numbers."""
 
-    got = map_texts(own, run, "h long, v array<float>").orderBy("h", "v").limit(TOPIC_SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    return learn_topics(got.flatten().to_numpy(zero_copy_only=False).reshape(len(got), TOPIC_BUCKETS), topics)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size, np.int64)
+            for counts in _blocks(batches):
+                out += work(counts).astype(np.int64)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["k", "x"])
+
+        got, out = blocks.mapInArrow(run, "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).toArrow(), np.zeros(size, np.int64)
+        out[got.column("k").to_numpy()] = got.column("x").to_numpy()
+        return out
+
+    *found, n, filled = summed(TOPIC_BUCKETS + 2, lambda x: np.concatenate([(x > 0).sum(0), [len(x), (x > 0).sum()]]))
+    weight = np.log((1 + n) / (1 + np.array(found))).astype(np.float32) + np.float32(0.01)
+    # a task reads 4 MB or so where that makes no more tasks than cores, otherwise up to 64 MB
+    blocks = blocks.coalesce(int(1 + max(min(3 * filled >> 22, docs.sparkSession.sparkContext.defaultParallelism), 3 * filled >> 26)))
+
+    def farthest(centres: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least: tuple[float, bytes] | None = None
+            for counts in _blocks(batches):
+                x = units(counts, weight)
+                near = (x @ centres.T).max(1, initial=0.0)
+                if least is None or near.min() <= least[0]:
+                    here = min(v.tobytes() for v in x[near == near.min()].astype(">i4"))
+                    least = min((float(near.min()), here), least or (np.inf, b""))
+            if least:
+                yield pa.RecordBatch.from_arrays([pa.array([least[0]]), pa.array([least[1]], pa.binary())], names=["near", "v"])
+
+        return np.frombuffer(blocks.mapInArrow(run, "near double, v binary").orderBy("near", "v").first()["v"], ">i4").astype(np.float64)
+
+    centres = np.zeros((0, TOPIC_BUCKETS))
+    while n and len(centres) < topics:
+        new = farthest(centres)
+        if (centres == new).all(1).any():  # all documents lie on centres
+            break
+        centres = np.concatenate([centres, [new]])
+
+    def nearest(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = units(counts, weight)
+        return x, np.eye(len(centres))[(x @ centres.T).argmax(1)]
+
+    def total(counts: np.ndarray) -> np.ndarray:
+        x, of = nearest(counts)
+        return (of.T @ x).reshape(-1)
+
+    for _ in range(TOPIC_ROUNDS if n else 0):
+        sums = summed(centres.size, total).reshape(centres.shape).astype(np.float64)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        before, centres = centres, np.where(norm > 0, np.rint(sums / np.maximum(norm, 1) * UNIT), centres)
+        if (before == centres).all():
+            break
+    size = summed(len(centres), lambda counts: nearest(counts)[1].sum(0)) if n else np.zeros(0)
+    return TopicModel(weight, (centres[np.argsort(-size, kind="stable")] / UNIT).astype(np.float32))
 
 
 def measured(docs: DataFrame, tokens: str, topic: str | None, model: TopicModel | None = None) -> DataFrame:

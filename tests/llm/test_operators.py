@@ -231,6 +231,29 @@ def test_topics_are_the_nearest_centres(spark, docs):
     assert len({(r.doc_id % 2, r.topic) for r in got}) == 2 and len({r.topic for r in got}) == 2
 
 
+def test_topics_are_learned_on_every_document(spark):
+    """Weights and centres as plain k-means over all of several thousand documents gives them, however they are dealt."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k % 5}x{w}" for w in rng.integers(0, 40, rng.integers(4, 30))) for k in range(6000)] + ["", None, "..."]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = [mixing.fit_topics(table.repartition(n), 4) for n in (3, 7)]
+    counts = mixing.hashed([t for t in texts[:6000]])[0].astype(float)
+    weight = np.log(6001 / (1 + (counts > 0).sum(0))) + 0.01
+    assert models[0].weight == pytest.approx(weight, rel=1e-5)
+    x = counts * weight / np.linalg.norm(counts * weight, axis=1, keepdims=True)
+    x = x[np.lexsort(x.T[::-1])]
+    centres = x[:1]
+    while len(centres) < 4:
+        centres = np.concatenate([centres, x[[(x @ centres.T).max(1).round(6).argmin()]]])
+    for _ in range(mixing.TOPIC_ROUNDS):
+        label = (x @ centres.T).argmax(1)
+        sums = np.stack([x[label == k].sum(0) for k in range(4)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    centres = centres[np.argsort(-np.bincount((x @ centres.T).argmax(1)), kind="stable")]
+    assert np.abs(models[0].centres - centres).max() < 1e-3
+    assert all((getattr(models[0], c) == getattr(models[1], c)).all() for c in ("weight", "centres"))
+
+
 def test_mixing_sample_follows_target(spark, sf):
     out = queries.op3_mixing(spark, sf)
     total = out.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")), F.sum(F.when(F.col("sampled"), F.col("n_tokens"))), F.max("gap")).first()
