@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,17 @@ def test_stages_do_what_their_operators_say(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()} == {tuple(r) for r in five.select("doc_id", "n_tokens").collect()}
 
 
+def test_mixture_learns_topics_on_every_document(spark, monkeypatch):
+    """The weights of the model that the stage uses are those of the document frequencies in the whole table."""
+    texts = [f"common w{i % 700} w{i % 11}x w{i}y" for i in range(5000)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    models, measured = [], mixing.measured
+    monkeypatch.setattr(mixing, "measured", lambda rows, tokens, topic, model=None: models.append(model) or measured(rows, tokens, topic, model))
+    assert 0 < corpus_pipeline.mixture(spark, docs, SF).count() < 5000
+    counts, _ = mixing.hashed(texts)
+    assert models[0].weight == pytest.approx(np.log(5001 / (1 + (counts > 0).sum(0))) + 0.01, rel=1e-5)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_every_stage_takes_hard_cases(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
