@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +164,22 @@ def test_licence_large_table_joins_alike(spark, docs, monkeypatch):
     assert sorted(map(tuple, license.scan_licenses(docs).collect()), key=str) == small
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    """What a table was shuffled for goes with its lineage; the session's setting stays as it was."""
+    env, setting = spark._jvm.org.apache.spark.SparkEnv.get(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = [d.toString() for d in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before, was = files(), spark.conf.get(setting, None)
+    rows = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 997).alias("k")).count()
+    for out in (common.cut(rows), common.cut(rows, 997)):
+        assert out.count() == 997 and out.agg(F.sum("count")).first()[0] == 5000
+    end = time.time() + 20
+    shuffled = lambda: {f for f in files() - before if os.path.exists(f) and os.path.getsize(f) > 4000}
+    while shuffled() and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() and spark.conf.get(setting, None) == was
+
+
 # 3 mixing -----------------------------------------------------------------------------------------------------------
 
 
