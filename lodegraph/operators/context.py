@@ -122,7 +122,8 @@ def without_routes(rows: DataFrame) -> DataFrame:
 
 
 def document_votes(hits: DataFrame) -> DataFrame:
-    """uid, doc, score: for each symbol that documents describe (hits: doc, rank, score, describes), its best document."""
+    """uid, doc, score: for each symbol that documents describe (hits: doc, rank, score, describes), its best document.
+    A rank is a number or anything else that sorts."""
     x = hits.select("doc", "rank", "score", F.explode("describes").alias("uid"))
     return x.groupBy("uid").agg(F.min(F.struct("rank", "doc", "score")).alias("b")).select("uid", "b.doc", "b.score")
 

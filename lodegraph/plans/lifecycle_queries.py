@@ -237,12 +237,12 @@ def fan_in_names(t: Tables) -> DataFrame:
 n AS (SELECT k, row_number() OVER (ORDER BY price DESC, k) AS rank, price, list(DISTINCT s) AS ss FROM d GROUP BY k, price), x AS (SELECT k, rank, price, unnest(ss) AS uid FROM n)
 SELECT uid, arg_min(k, rank) AS doc, arg_min(price, rank) AS score FROM x GROUP BY 1""")
 def document_vote(t: Tables) -> DataFrame:
-    """Orders as documents ranked by price; each supplier takes the best that mentions it."""
-    from pyspark.sql import Window
-
+    """Orders as documents ranked by price; each supplier takes the best that mentions it. A rank is what the order compares,
+    not a number: numbers would take all orders through one task."""
     said = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_set("l_suppkey").alias("describes"))
     ranked = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("score")).join(said, "doc")
-    return cx.document_votes(ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc"))))
+    price = F.col("score")
+    return cx.document_votes(ranked.withColumn("rank", F.struct(price.isNull(), ~F.isnan(price), -price, F.col("doc"))))
 
 
 @query(f"""WITH {SYM}, n AS (SELECT uid, name, row_number() OVER (ORDER BY loc DESC, uid) AS rank FROM sym WHERE kind IN ('class', 'function') AND role NOT IN ('Route', 'Controller', 'Model')) SELECT uid, name FROM n WHERE rank <= 8""")
