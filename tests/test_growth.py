@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph.plans import catalog
+from lodegraph.operators import docs, graph
 
 
 def nodes(plan):
@@ -21,6 +21,8 @@ def joined(df, column=""):
     return rows, max((p.metrics().apply("numOutputRows").value() for p in joins), default=0)
 
 
-def test_no_rank_over_all_orders(spark, sf):
-    plan = catalog.queries()["document_vote"](spark, sf)._jdf.queryExecution().toString()
-    assert "SinglePartition" not in plan and "Window" not in plan
+def test_equal_titles(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 50)
+    titles = spark.range(400).select(F.col("id").alias("uid"), F.when(F.col("id") < 300, "one two three four five").when(F.col("id") < 390, "one two three four five six").otherwise("seven eight").alias("title"))
+    rows, most = joined(docs.similar_titles(titles, "uid", "title"))
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == 390 * 389 // 2 + 45 and all(r.a < r.b for r in rows) and most < 1000
