@@ -187,8 +187,11 @@ def similar_titles(rows: DataFrame, uid: str, title: str, least: float = 0.8) ->
 
 def established(decisions: DataFrame, knowledge: DataFrame, least: float = 0.3) -> DataFrame:
     """a (decision), b (knowledge), score: overlap coefficients of their word sets, at least two words shared, found by
-    joining on words."""
-    d = decisions.select(F.col("uid").alias("a"), title_tokens(F.col("text")).alias("x"))
-    k = knowledge.select(F.col("uid").alias("b"), title_tokens(F.col("text")).alias("y"))
-    pairs = d.select("a", F.explode("x").alias("w")).join(k.select("b", F.explode("y").alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
-    return pairs.join(d, "a").join(k, "b").select("a", "b", relevance(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+    joining on words. Only different word sets are compared, and members of those that agree are paired from lists."""
+    d = decisions.select(F.col("uid").alias("a"), F.array_sort(title_tokens(F.col("text"))).alias("x"))
+    k = knowledge.select(F.col("uid").alias("b"), F.array_sort(title_tokens(F.col("text"))).alias("y"))
+    mine, theirs = d.select("x").distinct(), k.select("y").distinct()
+    pairs = mine.select("x", F.explode("x").alias("w")).join(theirs.select("y", F.explode("y").alias("w")), "w").groupBy("x", "y").agg(F.count("*").alias("shared")).where("shared >= 2")
+    pairs = pairs.select("x", "y", relevance(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+    met = pairs.join(listed(d, "x", "a").withColumnRenamed("items", "p"), "x").join(listed(k, "y", "b").withColumnRenamed("items", "q"), "y")
+    return unlisted(met, "p", "q", "a", "b").select("a", "b", "score")

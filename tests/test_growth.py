@@ -26,3 +26,10 @@ def test_equal_titles(spark, monkeypatch):
     titles = spark.range(400).select(F.col("id").alias("uid"), F.when(F.col("id") < 300, "one two three four five").when(F.col("id") < 390, "one two three four five six").otherwise("seven eight").alias("title"))
     rows, most = joined(docs.similar_titles(titles, "uid", "title"))
     assert len({(r.a, r.b) for r in rows}) == len(rows) == 390 * 389 // 2 + 45 and all(r.a < r.b for r in rows) and most < 1000
+
+
+def test_equal_knowledge(spark):
+    d = spark.createDataFrame([("d1", "keep the token service"), ("d2", "keep nothing")], "uid string, text string")
+    k = spark.range(3000).select(F.col("id").alias("uid"), F.lit("the token store").alias("text"))
+    rows, most = joined(docs.established(d, k))
+    assert len(rows) == 3000 and {(r.a, round(r.score, 6)) for r in rows} == {("d1", 0.666667)} and most <= 3000
