@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import docs, graph
+from lodegraph.operators import docs, graph, mining
 
 
 def nodes(plan):
@@ -28,6 +28,14 @@ def test_equal_titles(spark, monkeypatch):
     assert len({(r.a, r.b) for r in rows}) == len(rows) == 390 * 389 // 2 + 45 and all(r.a < r.b for r in rows) and most < 1000
 
 
+def test_rivals(spark):
+    methods = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ("create", "verify", "burn")))).otherwise(F.array(*map(F.lit, ("create", "verify"))))
+    classes = spark.range(400).select(F.col("id").alias("uid"), F.lit("Token").alias("name"), methods.alias("methods"))
+    used = spark.createDataFrame([(1, 0), (2, 0)], "src long, dst long")
+    rows, most = joined(mining.lifecycle_roles(classes, used, "token"))
+    assert len(rows) == 200 + 2 + 200 * 399 - 2 and most < 1000
+
+
 def test_equal_knowledge(spark):
     d = spark.createDataFrame([("d1", "keep the token service"), ("d2", "keep nothing")], "uid string, text string")
     k = spark.range(3000).select(F.col("id").alias("uid"), F.lit("the token store").alias("text"))
