@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.operators import docs, graph, mining
+from lodegraph.plans import catalog
 
 
 def nodes(plan):
@@ -41,3 +42,15 @@ def test_equal_knowledge(spark):
     k = spark.range(3000).select(F.col("id").alias("uid"), F.lit("the token store").alias("text"))
     rows, most = joined(docs.established(d, k))
     assert len(rows) == 3000 and {(r.a, round(r.score, 6)) for r in rows} == {("d1", 0.666667)} and most <= 3000
+
+
+def test_no_rank_over_all_orders(spark, sf):
+    plan = catalog.queries()["document_vote"](spark, sf)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_places_meet_ranges(spark):
+    points = spark.range(300).select(F.col("id").alias("pid"), F.lit("f").alias("k"), F.lit(5).alias("at"))
+    spans = spark.range(300).select(F.lit("f").alias("k"), F.col("id").alias("uid"), F.lit(1).alias("low"), (F.col("id") % 3 + 5).cast("int").alias("high"))
+    rows, most = joined(graph.enclosing(points, spans, ["k"]))
+    assert {r.uid for r in rows} == {0} and len(rows) == 300 and most <= 300
