@@ -23,18 +23,23 @@ def check_evidence(refs: DataFrame, files: DataFrame) -> DataFrame:
     reference doesn't hold, null if it does. files: path, text.
 
     Start defaults to the first line; end to start, or, without one, to the last line. Of each piece of knowledge the
-    first 20 references count. The hash is of the lines between, 16 digits of sha256. One join by path; a file's lines
-    are sliced, not exploded. Of files that repeat a path the smallest text counts."""
-    own = files.groupBy("path").agg(F.min("text").alias("text"))
+    first 20 references count. The hash is of the lines between, 16 digits of sha256. A file meets its distinct ranges, not
+    its references, and texts stay with their files. Of files that repeat a path the smallest text counts."""
+    own = files.groupBy("path").agg(F.min("text").alias("text")).where("text is not null")
     lines = F.split(F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\n$", ""), "\n")
-    x = refs.join(own, "path", "left").withColumn("_lines", F.when(F.col("text") == "", F.array().cast("array<string>")).when(F.col("text").isNotNull(), lines))
-    total = F.coalesce(F.size("_lines"), F.lit(0))
+    # a null has a key of its own here, so that ranges without a start or an end meet their references
+    key = ["path", F.coalesce("line_start", F.lit(-1)).alias("_from"), F.coalesce("line_end", F.lit(-1)).alias("_to"), F.col("line_start").isNull().alias("_open"), F.col("line_end").isNull().alias("_rest")]
+    asked = refs.select(*key, "line_start", "line_end").distinct()
+    x = asked.join(own, "path").withColumn("_lines", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(lines)).withColumn("total", F.size("_lines"))
     start = F.coalesce("line_start", F.lit(1))
-    end = F.coalesce("line_end", "line_start", total)
-    x = x.withColumn("_rank", F.row_number().over(Window.partitionBy("knowledge_uid").orderBy("pos", "ref")))
-    why = F.when(F.col("_rank") > MOST_EVIDENCE, "beyond the first 20").when(F.col("_lines").isNull(), "file not found").when((start < 1) | (start > end) | (end > total), "outside the file")
+    end = F.coalesce("line_end", "line_start", F.coalesce("total", F.lit(0)))
     body = F.array_join(F.slice("_lines", F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), "\n")
-    return x.select("ref", "knowledge_uid", "path", start.alias("line_start"), end.alias("line_end"), F.when(why.isNull(), F.substring(F.sha2(body, 256), 1, 16)).alias("content_hash"), why.alias("dropped"))
+    names = ["path", "_from", "_to", "_open", "_rest"]
+    held = x.select(*names, "total", F.substring(F.sha2(body, 256), 1, 16).alias("_hash"))
+    x = refs.select("*", *key[1:]).join(held, names, "left")
+    x = x.withColumn("_rank", F.row_number().over(Window.partitionBy("knowledge_uid").orderBy("pos", "ref")))
+    why = F.when(F.col("_rank") > MOST_EVIDENCE, "beyond the first 20").when(F.col("total").isNull(), "file not found").when((start < 1) | (start > end) | (end > F.col("total")), "outside the file")
+    return x.select("ref", "knowledge_uid", "path", start.alias("line_start"), end.alias("line_end"), F.when(why.isNull(), F.col("_hash")).alias("content_hash"), why.alias("dropped"))
 
 
 def evidence_uid(project: Column, knowledge: Column, rel: Column, path: Column, start: Column, end: Column, symbol: Column) -> Column:

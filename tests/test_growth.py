@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import docs, graph, mining
+from lodegraph.operators import docs, graph, knowledge, mining
 from lodegraph.plans import catalog
 
 
@@ -49,6 +49,14 @@ def test_no_rank_over_all_orders(spark, sf):
     assert "SinglePartition" not in plan and "Window" not in plan
 
 
+def test_texts_meet_ranges(spark):
+    files = spark.createDataFrame([("p", "a\nb\nc")], "path string, text string")
+    refs = spark.range(500).select(F.col("id").alias("ref"), F.col("id").alias("knowledge_uid"), F.lit(1).alias("pos"), F.lit("p").alias("path"), F.when(F.col("id") % 2 == 0, 2).alias("line_start"), F.lit(None).cast("int").alias("line_end"))
+    for column in ("text", "_lines"):
+        rows, most = joined(knowledge.check_evidence(refs, files), column)
+        assert len({(r.line_start, r.line_end, r.content_hash) for r in rows if r.dropped is None and r.line_start == 2}) == 1 and len(rows) == 500 and most < 10
+
+
 def test_places_meet_ranges(spark):
     points = spark.range(300).select(F.col("id").alias("pid"), F.lit("f").alias("k"), F.lit(5).alias("at"))
     spans = spark.range(300).select(F.lit("f").alias("k"), F.col("id").alias("uid"), F.lit(1).alias("low"), (F.col("id") % 3 + 5).cast("int").alias("high"))
