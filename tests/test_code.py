@@ -145,3 +145,19 @@ def test_junit_counts(spark):
     reports = {'<testsuites tests="7"><testsuite tests="3"/></testsuites>': 7, '<testsuites><testsuite tests="3"/><testsuite tests="4"/></testsuites>': 7, "<testsuites/>": None}
     for xml, n in reports.items():
         assert one(spark, guardrails.junit_count, xml) == n
+
+
+def test_reuse_meets_kinds_not_rows(spark):
+    """Sixty times the same symbols are no more pairs of kinds; own names, ties and the boundary of k stay right."""
+    p = spark.createDataFrame([(f"p{i}", n, "", ["create", "verify"], "Service") for i, n in enumerate(("TokenService", "TokenRepo", "UserToken", "Clock"))], "uid string, name string, description string, methods array<string>, role string")
+    names = ("TokenService", "TokenRepo", "TokenClient", "UserToken", "User", "Clock", "Plain")
+    rows = [(f"s{i:03}", names[i % 7], "class" if i % 3 else "function", ["Service"] if i % 2 else ["Repository"], [["issue", "check"], ["burn"], [], ["create", "send", "list"]][i % 4], i % 9, i % 5 == 0) for i in range(420)]
+    s = spark.createDataFrame(rows, "uid string, name string, kind string, roles array<string>, methods array<string>, fan_in int, validated_pattern boolean")
+    cols = ["proposal", "uid", "rank", "score", "f_name", "f_methods", "f_maturity", "f_pattern", "f_role", "verdict"]
+    got = {tuple(r) for r in reuse.find(p, s).select(*cols).collect()}
+    every = reuse.scored(p, s, reuse.candidates(p, s))
+    want = {tuple(r) for r in reuse.top_per(every, ["proposal"], [F.col("score").desc(), F.col("name"), F.col("uid")], 5).select(*cols).collect()}
+    assert got == want and len(got) == 20
+    asking = reuse._asking(p).groupBy(*reuse._ASKS).agg(F.min("proposal").alias("gid")).withColumn("words", F.array_union(F.array_union("core", "described"), F.col("asked")))
+    few, many = (reuse._kinds(asking, reuse._having(x, 5)).count() for x in (s, s.withColumn("uid", F.explode(F.array(*[F.concat("uid", F.lit(f"-{j}")) for j in range(60)])))))
+    assert few == many
