@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import docs, graph, knowledge, mining
+from lodegraph.operators import docs, graph, knowledge, mining, reuse
 from lodegraph.plans import catalog
 
 
@@ -22,6 +22,13 @@ def joined(df, column=""):
     return rows, max((p.metrics().apply("numOutputRows").value() for p in joins), default=0)
 
 
+def test_verb_sharers(spark):
+    s = spark.range(600).select(F.col("id").alias("uid"), F.when(F.col("id") % 2 == 0, F.array(F.lit("create"), F.lit("burn"))).otherwise(F.array(F.lit("issueToken"))).alias("methods"))
+    rows, most = joined(reuse.verb_sharers(s.where("uid < 100"), s))
+    assert len({(r.proposal, r.uid) for r in rows}) == len(rows) == 100 * 599 and most <= 600
+    assert {r.overlap for r in rows if r.proposal == 1} == {1.0} and {r.overlap for r in rows if r.proposal == 0} == {1.0, 0.5}
+
+
 def test_equal_titles(spark, monkeypatch):
     monkeypatch.setattr(graph, "LISTED", 50)
     titles = spark.range(400).select(F.col("id").alias("uid"), F.when(F.col("id") < 300, "one two three four five").when(F.col("id") < 390, "one two three four five six").otherwise("seven eight").alias("title"))
